@@ -27,6 +27,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids, their decoding and spans of every document, as digests."""
+    from .spm import digest_documents
+
+    return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written to a store and read back."""
     from .tokenfile import write_store
@@ -35,6 +42,6 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_packing, op6_token_files)
+    f.__name__: f for f in (op1_token_counts, op3_packing, op5_sentencepiece, op6_token_files)
 }
 ORACLE_SQL: dict[str, str] = {}
