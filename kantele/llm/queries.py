@@ -41,7 +41,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).documents()
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    from .quality import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_packing, op5_sentencepiece, op6_token_files)
+    f.__name__: f for f in (op1_token_counts, op3_packing, op5_sentencepiece, op6_token_files, op9_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
