@@ -49,7 +49,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_packing, op5_sentencepiece, op6_token_files, op9_quality_rules)
+    f.__name__: f for f in (op1_token_counts, op3_packing, op5_sentencepiece, op6_token_files, op9_quality_rules, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {}
