@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import Words, columns, encoded, map_text, texts, words
+from .common import Words, columns, encoded, keep, map_text, texts, words
 from .labels import SAMPLE, labelled
 
 #: Features of the trees and the way each may move the score: shares of symbols, of
@@ -125,6 +125,11 @@ RESULT = (
 )
 
 
+def failed(base: dict[str, np.ndarray]) -> np.ndarray:
+    """Too few words, or too many of them in windows that repeat."""
+    return (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
+
+
 def judge(df: DataFrame, trees: boosting.Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Statistics and verdict of every row.
 
@@ -138,22 +143,19 @@ def judge(df: DataFrame, trees: boosting.Trees, id_col: str = "doc_id", text_col
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         base, x = statistics(batch.column("text"))
         quality = trees.score(x)
-        failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
+        bad = failed(base)
         arrays = [batch.column("doc_id"), *(pa.array(v, pa.int64()) for v in base.values())]
-        arrays += [pa.array(failed), pa.array(~failed & (quality >= 0.5)), pa.array(quality)]
+        arrays += [pa.array(bad), pa.array(~bad & (quality >= 0.5)), pa.array(quality)]
         return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in RESULT.split(", ")])
 
     return map_text(columns(df, doc_id=id_col, text=text_col), step, RESULT)
 
 
 def keep_good(docs: DataFrame, trees: boosting.Trees, text_col: str = "text") -> DataFrame:
-    """The rows that judge() would keep, with all their columns; a row stands for itself."""
-    position = docs.columns.index(text_col)
+    """The rows that judge() would keep, with all their columns."""
 
-    def run(batches):
-        for batch in batches:
-            base, x = statistics(batch.column(position))
-            failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * base["n_words"])
-            yield batch.filter(pa.array(~failed & (trees.score(x) >= 0.5)))
+    def verdict(column: pa.Array) -> np.ndarray:
+        base, x = statistics(column)
+        return ~failed(base) & (trees.score(x) >= 0.5)
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep(docs, verdict, text_col)

@@ -20,6 +20,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), automaton)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    from .toxicity import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
     from .packing import pack_documents
@@ -57,6 +65,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_packing, op5_sentencepiece, op6_token_files, op9_quality_rules, op10_simhash)
+    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op5_sentencepiece, op6_token_files, op9_quality_rules, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {}

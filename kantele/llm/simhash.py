@@ -310,3 +310,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of = written(joined.join(least, "group").select("fingerprint", "component_id"), "components")
     out = prints.join(of, "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each near-duplicate group the row with the least id, with all its columns.
+
+    Of rows that repeat that id one stays. Rows without an id can't be named and are
+    kept.
+    """
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    least = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.join(least, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
