@@ -49,6 +49,30 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).documents()
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector against all."""
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+OP8_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x
+  from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x)
+  where q.vec_id % 50 = 0
+)
+select query_id, cast(rank as int) as rank, vec_id, cast(score as bigint) as score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+where rank <= 5
+"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     from .quality import fit, judge
@@ -65,6 +89,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op5_sentencepiece, op6_token_files, op9_quality_rules, op10_simhash)
+    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op5_sentencepiece, op6_token_files, op8_top_k, op9_quality_rules, op10_simhash)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_top_k": OP8_SQL}

@@ -1,0 +1,59 @@
+"""Exact top-k against brute force and against SQL."""
+
+import math
+
+import duckdb
+import numpy as np
+import pytest
+
+from kantele.llm import queries, topk
+
+
+def brute(rows, is_query, k=5):
+    known = {}
+    for i, x in rows:
+        if i is not None and x and all(c is not None and math.isfinite(c) for c in x):
+            v = [math.floor(256 * c) for c in x]
+            known[i] = min(known[i], v) if i in known else v
+    out = set()
+    for q, a in known.items():
+        if is_query(q):
+            scored = sorted((-sum(s * t for s, t in zip(a, b, strict=True)), c) for c, b in known.items() if c != q and len(a) == len(b))
+            out |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])}
+    return out
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(0)
+    a, b = (np.floor(256 * rng.normal(size=(60, 50))) for _ in range(2))
+    left, right, exact = topk.Segments(a), topk.Segments(b), a @ b.T
+    last = None
+    for level in range(len(topk.LEVELS)):
+        bound = left.bounds(level, right)
+        assert (bound >= exact).all()
+        assert last is None or bound.mean() < last
+        last = bound.mean()
+
+
+@pytest.mark.parametrize("blocks", [(512, 4096, 8), (3, 16, 2)])
+def test_top_k(spark, monkeypatch, blocks):
+    for name, value in zip(("QUERIES", "ROWS", "SHARE"), blocks, strict=True):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=7).round(1).tolist()) for i in range(150)]
+    rows += [(200 + i, rows[3][1]) for i in range(12)]  # ties
+    rows += [(400, None), (410, []), (420, [1.0] * 6 + [None]), (430, [float("nan")] * 7), (440, [float("inf")] + [0.0] * 6), (None, [1.0] * 7)]
+    rows += [(10, rows[10][1]), (500, [1.0, 2.0]), (510, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as score", "'x' as width").repartition(4)
+    found = {tuple(r) for r in topk.top_k(df, "vec_id % 10 = 0").collect()}
+    assert found == brute(rows, lambda i: i % 10 == 0)
+    assert topk.top_k(df.limit(0), "vec_id % 10 = 0").count() == 0
+    assert topk.top_k(df, "vec_id < 0").count() == 0
+
+
+def test_equals_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    expected = set(con.execute(f"select query_id, rank, vec_id, score from ({queries.OP8_SQL})").fetchall())
+    assert {tuple(r) for r in queries.op8_top_k(spark, folder).collect()} == expected and len(expected) == 50
