@@ -49,6 +49,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).documents()
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products of every 50th vector against all."""
     from .topk import top_k
@@ -89,6 +96,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op5_sentencepiece, op6_token_files, op8_top_k, op9_quality_rules, op10_simhash)
+    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op5_sentencepiece, op6_token_files, op7_main_text, op8_top_k, op9_quality_rules, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {"op8_top_k": OP8_SQL}
