@@ -35,6 +35,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document: benchmark passages against all documents."""
+    from .lmscore import Difference, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, Difference.fit(table(spark, sf_dir, "benchmark"), docs))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids, their decoding and spans of every document, as digests."""
     from .spm import digest_documents
@@ -96,6 +104,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op5_sentencepiece, op6_token_files, op7_main_text, op8_top_k, op9_quality_rules, op10_simhash)
+    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_lm_scores, op5_sentencepiece, op6_token_files, op7_main_text, op8_top_k, op9_quality_rules, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {"op8_top_k": OP8_SQL}
