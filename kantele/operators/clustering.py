@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.checks import LEAST
-from ..functions.kernels import Entropic, Fuzzy, Hard, Rough, squared_distances
+from ..functions.kernels import Entropic, Fuzzy, Hard, Rough, nearest
 from ..plans.engine import Method, Step, Steps, Until, iterate
 from ..plans.partials import reduced
-from ..sources.points import Points, prepared, rows_of
+from ..sources.points import Points, blocks_of, prepared, rows_of
 from .neighbors import pairs_within
 from .seeding import seeds
 
@@ -62,31 +62,34 @@ def assigned(points: Points, assign, centers: np.ndarray) -> DataFrame:
     v, mean = centers - points.mean, points.mean
 
     def step(_, x: np.ndarray) -> dict:
-        held, _ = assign(squared_distances(x - mean, v))
-        return {"label": held.argmax(axis=1), "membership": held} if assign.soft else {"label": held}
+        if not assign.soft:
+            return {"label": nearest(x - mean, v)[0]}
+        held, _ = assign(assign.distances(x - mean, v))
+        return {"label": held.argmax(axis=1), "membership": held}
 
     kinds = {"label": "int", "membership": "array<double>"} if assign.soft else {"label": "int"}
     return with_column(points.df, step, kinds, points.width)
 
 
-def hard_step(points: Points, centers: np.ndarray, _, t: int) -> Step:
-    """Sums and counts of each unit's rows, and the sum of least squared distances."""
+def unit_sums(points: Points, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of centered rows and counts by nearest unit, and the sum of least squared distances."""
     v, mean, width = centers - points.mean, points.mean, points.width
-    k = len(v)
 
     def task(batches: Iterator[pa.RecordBatch]):
         total = None
-        for _, x in rows_of(batches, width, mean):
-            d = squared_distances(x, v)
-            label = d.argmin(axis=1)
-            held = np.zeros((len(x), k))
-            held[np.arange(len(x)), label] = 1
-            part = (held.T @ x, held.sum(axis=0), np.array(d[np.arange(len(x)), label].sum()))
+        for x in blocks_of(batches, width, mean):
+            label, least = nearest(x, v)
+            weighted = np.stack([np.bincount(label, x[:, d], len(v)) for d in range(width)], axis=1)
+            part = (weighted, np.bincount(label, minlength=len(v)).astype(float), np.array(least.sum()))
             total = part if total is None else tuple(a + b for a, b in zip(total, part, strict=True))
         return total
 
-    weighted, mass, value = reduced(points.df, task)
-    return Step(moved(centers, mean, weighted, mass), objective=float(value))
+    return reduced(points.blocks, task)
+
+
+def hard_step(points: Points, centers: np.ndarray, _, t: int) -> Step:
+    weighted, mass, value = unit_sums(points, centers)
+    return Step(moved(centers, points.mean, weighted, mass), objective=float(value))
 
 
 def soft_step(assign, m: float | None = None) -> Callable[..., Step]:
@@ -109,15 +112,15 @@ def soft_step(assign, m: float | None = None) -> Callable[..., Step]:
 
         def task(batches: Iterator[pa.RecordBatch]):
             parts = []
-            for _, x in rows_of(batches, width, mean):
-                held, value = assign(squared_distances(x, v))
+            for x in blocks_of(batches, width, mean):
+                held, value = assign(assign.distances(x, v))
                 top = held.max(axis=0) if m else np.ones(len(v))
                 weight = (held / np.maximum(top, LEAST)) ** m if m else held
                 part = (weight.T @ x, weight.sum(axis=0), np.array(np.nan if value is None else value), top)
                 parts = [merge([*parts, part])]
             return parts[0] if parts else None
 
-        weighted, mass, value, _ = reduced(points.df, task, merge)
+        weighted, mass, value, _ = reduced(points.blocks, task, merge)
         return Step(moved(centers, mean, weighted, mass), objective=checked(assign, float(value)))
 
     return step
@@ -255,12 +258,13 @@ def apply_rcm(df: DataFrame, centers, *, alpha: float, beta: float, p: float, fe
 class Neighborhoods(Points):
     """Points with their neighbourhood graph: edges (i, j, degree of i), i itself included.
 
-    ``df`` carries for each row j what it adds to a unit it is nearest to: y = sum of
+    ``joined`` has for each row j what it adds to a unit it is nearest to: y = sum of
     x_i / degree_i over its neighbours i, and z = sum of 1 / degree_i. The graph is joined once, not at
     every iteration.
     """
 
     edges: DataFrame = None
+    joined: DataFrame = None
 
 
 def neighborhoods(delta: float, max_edges: int) -> Callable[[Points], Neighborhoods]:
@@ -277,7 +281,7 @@ def neighborhoods(delta: float, max_edges: int) -> Callable[[Points], Neighborho
             F.array(*(F.sum(F.col(f"c{d}") / F.col("degree")) for d in range(points.width))).alias("y"), F.sum(1.0 / F.col("degree")).alias("z")
         )
         df = points.df.join(added, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
-        return Neighborhoods(df, points.n, points.mean, points.radius, graph)
+        return Neighborhoods(points.df, points.n, points.mean, points.radius, points.blocks, graph, df)
 
     return ready
 
@@ -290,7 +294,7 @@ def _rough_membership(points: Neighborhoods, centers: np.ndarray, _, t: int) ->
         for batch, x in rows_of(batches, width, mean):
             y = batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             z = batch.column("z").to_numpy(zero_copy_only=False)
-            label = squared_distances(x, v).argmin(axis=1)
+            label, _ = nearest(x, v)
             weighted, mass = np.zeros_like(v), np.zeros(len(v))
             for unit in np.unique(label):
                 own = label == unit
@@ -298,7 +302,7 @@ def _rough_membership(points: Neighborhoods, centers: np.ndarray, _, t: int) ->
             total = (weighted, mass) if total is None else (total[0] + weighted, total[1] + mass)
         return total
 
-    return Step(moved(centers, mean, *reduced(points.df, task)))
+    return Step(moved(centers, mean, *reduced(points.joined, task)))
 
 
 def _neighbor_memberships(points: Neighborhoods, centers: np.ndarray) -> DataFrame:

@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from ..functions.kernels import squared_distances, uniform_hash
+from ..functions.kernels import quick_distances, uniform_hash
 from ..plans.partials import reduced
-from ..sources.points import Points, rows_of
+from ..sources.points import Points, blocks_of
 
 
 def _drawn(points: Points, chosen: np.ndarray, salt: int, trials: int) -> np.ndarray:
@@ -27,8 +27,8 @@ def _drawn(points: Points, chosen: np.ndarray, salt: int, trials: int) -> np.nda
 
         at, best = 0, None
         part = TaskContext.get().partitionId()
-        for _, x in rows_of(batches, width, mean):
-            weight = squared_distances(x, chosen).min(axis=1) if len(chosen) else np.ones(len(x))
+        for x in blocks_of(batches, width, mean):
+            weight = quick_distances(x, chosen).min(axis=1) if len(chosen) else np.ones(len(x))
             ids = np.arange(at, at + len(x), dtype=np.int64) + (part << 40)
             at += len(x)
             found = []
@@ -47,7 +47,7 @@ def _drawn(points: Points, chosen: np.ndarray, salt: int, trials: int) -> np.nda
     def earliest(parts: list):
         return [min(options, key=lambda v: v[:2]) for options in zip(*parts, strict=True)]
 
-    return np.array([x for _, _, x in reduced(points.df, clocks, earliest)])
+    return np.array([x for _, _, x in reduced(points.blocks, clocks, earliest)])
 
 
 def _scored(points: Points, chosen: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -56,12 +56,12 @@ def _scored(points: Points, chosen: np.ndarray, candidates: np.ndarray) -> np.nd
 
     def sums(batches: Iterator[pa.RecordBatch]):
         total = None
-        for _, x in rows_of(batches, width, mean):
-            d = np.minimum(squared_distances(x, chosen).min(axis=1)[:, None], squared_distances(x, candidates)).sum(axis=0)
+        for x in blocks_of(batches, width, mean):
+            d = np.minimum(quick_distances(x, chosen).min(axis=1)[:, None], quick_distances(x, candidates)).sum(axis=0)
             total = d if total is None else total + d
         return None if total is None else (total,)
 
-    return reduced(points.df, sums)[0]
+    return reduced(points.blocks, sums)[0]
 
 
 def seeds(points: Points, k: int, seed: int | None) -> np.ndarray:

@@ -25,24 +25,34 @@ def rows_of(batches: Iterator[pa.RecordBatch], width: int, mean: np.ndarray | No
             yield batch, x if mean is None else x - mean
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], width: int, mean: np.ndarray) -> Iterator[np.ndarray]:
+    """Centered matrices of a task's packed blocks."""
+    for batch in batches:
+        for data in batch.column("data"):
+            yield np.frombuffer(data.as_buffer(), np.float64).reshape(-1, width) - mean
+
+
 @dataclass(frozen=True)
 class Points:
-    """Checked rows: ``df`` has row_id and x (array of doubles), persisted.
+    """Checked rows: ``df`` has row_id and x (array of doubles).
 
-    ``mean`` and ``radius``, the root mean square norm about it, are driver-side.
+    ``blocks`` has the same rows as binary matrices, persisted: an iteration reads
+    them without a conversion for each row. ``mean`` and ``radius``, the root mean
+    square norm about it, are driver-side.
     """
 
     df: DataFrame
     n: int
     mean: np.ndarray
     radius: float
+    blocks: DataFrame
 
     @property
     def width(self) -> int:
         return len(self.mean)
 
     def release(self) -> None:
-        self.df.unpersist()
+        self.blocks.unpersist()
 
 
 def selected(df: DataFrame, features: list[str] | str, id_col: str) -> DataFrame:
@@ -64,29 +74,53 @@ def selected(df: DataFrame, features: list[str] | str, id_col: str) -> DataFrame
     return df.select(F.col(f"`{id_col}`").alias("row_id"), x.alias("x"))
 
 
-def _described(batches: Iterator[pa.RecordBatch]):
-    """Count, sums, extremes and faults of one task's rows."""
-    total = None
+#: Bytes of a packed block.
+BLOCK_BYTES = 4 << 20
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (data, width, fault) of a task's rows."""
+
+    def row(data: bytes, width: int, fault: str | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([width], pa.int32()), pa.array([fault], pa.string())], ["data", "width", "fault"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
         x, ids = batch.column("x"), batch.column("row_id")
         sizes = pc.list_value_length(x)
+        fault, width = None, pc.max(sizes).as_py()
         if x.null_count or ids.null_count or x.flatten().null_count:
-            return {"fault": "null"}
-        if pc.min(sizes).as_py() != pc.max(sizes).as_py():
-            return {"fault": "width"}
-        width = pc.max(sizes).as_py()
-        if not width:
-            return {"fault": "empty"}
+            fault = "null"
+        elif pc.min(sizes).as_py() != width:
+            fault = "width"
+        elif not width:
+            fault = "empty"
+        if fault:
+            yield row(b"", 0, fault)
+            continue
         values = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
         if not np.isfinite(values).all():
-            return {"fault": "finite"}
-        with np.errstate(over="ignore"):
-            part = {"n": len(values), "sum": values.sum(axis=0), "low": values.min(axis=0), "high": values.max(axis=0), "norm": float((values**2).sum(axis=1).max())}
-        total = part if total is None else _merged([total, part])
-        if "fault" in total:
-            return total
+            yield row(b"", 0, "finite")
+            continue
+        step = max(1, BLOCK_BYTES // (8 * width))
+        for i in range(0, len(values), step):
+            yield row(np.ascontiguousarray(values[i : i + step]).tobytes(), width, None)
+
+
+def _described(batches: Iterator[pa.RecordBatch]):
+    """Count, sums, extremes and faults of one task's blocks."""
+    total = None
+    for batch in batches:
+        for data, width, fault in zip(batch.column("data"), batch.column("width").to_pylist(), batch.column("fault").to_pylist(), strict=True):
+            if fault:
+                return {"fault": fault}
+            x = np.frombuffer(data.as_buffer(), np.float64).reshape(-1, width)
+            with np.errstate(over="ignore"):
+                part = {"n": len(x), "sum": x.sum(axis=0), "low": x.min(axis=0), "high": x.max(axis=0), "norm": float((x**2).sum(axis=1).max())}
+            total = part if total is None else _merged([total, part])
+            if "fault" in total:
+                return total
     return total
 
 
@@ -112,16 +146,18 @@ FAULTS = {
 
 
 def prepared(df: DataFrame, features: list[str] | str, id_col: str = "row_id", width: int | None = None) -> Points:
-    """Checks and describes the rows in two narrow passes over persisted data.
+    """Packs the rows once, checks and describes them in two passes over the blocks.
 
     Null ids or values are a TypeError; ragged, empty, non-finite and out-of-scale
     rows, and no rows at all, are a ValueError.
     """
-    points = selected(df, features, id_col).persist(StorageLevel.MEMORY_AND_DISK)
-    found = reduced(points, _described, _merged)
+    points = selected(df, features, id_col)
+    blocks = points.mapInArrow(_packed, "data binary, width int, fault string").persist(StorageLevel.MEMORY_AND_DISK)
+    found = reduced(blocks, _described, _merged)
     if found is None:
         raise ValueError("X must have at least one row")
     if "fault" in found:
+        blocks.unpersist()
         kind, said = FAULTS[found["fault"]]
         raise kind(f"X {said}")
     checks.in_scale(found["norm"], float((found["high"] - found["low"]).max()), "X")
@@ -131,9 +167,9 @@ def prepared(df: DataFrame, features: list[str] | str, id_col: str = "row_id", w
 
     def spread(batches: Iterator[pa.RecordBatch]):
         total = None
-        for _, x in rows_of(batches, len(mean), mean):
+        for x in blocks_of(batches, len(mean), mean):
             total = (total or 0.0) + float((x**2).sum())
         return None if total is None else (np.array(total),)
 
-    radius = float(np.sqrt(reduced(points, spread)[0] / found["n"]))
-    return Points(points, int(found["n"]), mean, radius)
+    radius = float(np.sqrt(reduced(blocks, spread)[0] / found["n"]))
+    return Points(points, int(found["n"]), mean, radius, blocks)
