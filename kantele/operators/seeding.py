@@ -7,70 +7,83 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 from ..functions.kernels import quick_distances, uniform_hash
 from ..plans.partials import reduced
 from ..sources.points import Points, blocks_of
 
 
-def _drawn(points: Points, chosen: np.ndarray, salt: int, trials: int) -> np.ndarray:
-    """``trials`` rows, each drawn in proportion to its squared distance to the chosen ones.
+def _round(points: Points, chosen: np.ndarray, candidates: np.ndarray, salt: int, trials: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sums, draws): what each candidate would leave, were it chosen.
 
-    Every row draws an exponential clock of that rate for each trial, from a hash of
-    its place; the first to ring wins. Without a distance all rows are alike. One
-    pass; a task sends on one row a trial.
+    A candidate's sum is that of the squared distances of all rows to the nearest
+    seed; its draws are ``trials`` rows drawn in proportion to those distances. Every
+    row draws an exponential clock of that rate for each trial, from a hash of its
+    place; the first to ring wins. Without a distance all rows are alike. One pass; a
+    task sends on a sum and one row a trial for each candidate.
     """
     mean, width = points.mean, points.width
 
-    def clocks(batches: Iterator[pa.RecordBatch]):
-        from pyspark import TaskContext
-
-        at, best = 0, None
+    def task(batches: Iterator[pa.RecordBatch]):
+        at, total = 0, None
         part = TaskContext.get().partitionId()
         for x in blocks_of(batches, width, mean):
-            weight = quick_distances(x, chosen).min(axis=1) if len(chosen) else np.ones(len(x))
             ids = np.arange(at, at + len(x), dtype=np.int64) + (part << 40)
             at += len(x)
+            rings = [-np.log(uniform_hash(ids, salt * 1000 + trial)) for trial in range(trials)]
+            near = quick_distances(x, chosen).min(axis=1) if len(chosen) else np.full(len(x), np.inf)
             found = []
-            for trial in range(trials):
-                ring = -np.log(uniform_hash(ids, salt * 1000 + trial))
-                flat = ring + 0.0
-                with np.errstate(divide="ignore"):
-                    ring = np.where(weight > 0, ring / weight, np.inf)
+            for distance in np.minimum(near[:, None], quick_distances(x, candidates)).T:
+                weightless = distance <= 0
+                rate = np.where(weightless, 1.0, distance)
                 # Rows of weight 0 ring only if there is no other.
-                rank = np.where(np.isfinite(ring), 0, 1)
-                i = int(np.lexsort((np.where(rank == 0, ring, flat), rank))[0])
-                found.append((int(rank[i]), float(ring[i] if rank[i] == 0 else flat[i]), x[i]))
-            best = found if best is None else [min(a, b, key=lambda v: v[:2]) for a, b in zip(best, found, strict=True)]
-        return best
+                first = [int(np.lexsort((ring / rate, weightless))[0]) for ring in rings]
+                found.append((float(distance.sum()), [((bool(weightless[i]), float(ring[i] / rate[i])), x[i]) for i, ring in zip(first, rings, strict=True)]))
+            total = found if total is None else merge([total, found])
+        return total
 
-    def earliest(parts: list):
-        return [min(options, key=lambda v: v[:2]) for options in zip(*parts, strict=True)]
+    def merge(parts: list):
+        out = []
+        for options in zip(*parts, strict=True):
+            drawn = [min(rows, key=lambda row: row[0]) for rows in zip(*(d for _, d in options), strict=True)]
+            out.append((sum(s for s, _ in options), drawn))
+        return out
 
-    return np.array([x for _, _, x in reduced(points.blocks, clocks, earliest)])
+    found = reduced(points.blocks, task, merge)
+    return np.array([s for s, _ in found]), [np.array([x for _, x in drawn]) for _, drawn in found]
 
 
-def _scored(points: Points, chosen: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Sum over all rows of the squared distance to the nearest seed, with each candidate added."""
+def _any_row(points: Points, salt: int) -> np.ndarray:
+    """A row at random."""
     mean, width = points.mean, points.width
 
-    def sums(batches: Iterator[pa.RecordBatch]):
-        total = None
+    def task(batches: Iterator[pa.RecordBatch]):
+        at, best = 0, None
+        part = TaskContext.get().partitionId()
         for x in blocks_of(batches, width, mean):
-            d = np.minimum(quick_distances(x, chosen).min(axis=1)[:, None], quick_distances(x, candidates)).sum(axis=0)
-            total = d if total is None else total + d
-        return None if total is None else (total,)
+            place = uniform_hash(np.arange(at, at + len(x), dtype=np.int64) + (part << 40), salt * 1000 + 999)
+            at += len(x)
+            i = int(place.argmin())
+            best = min([*([best] if best else []), (float(place[i]), x[i])], key=lambda row: row[0])
+        return best
 
-    return reduced(points.blocks, sums)[0]
+    return reduced(points.blocks, task, lambda parts: min(parts, key=lambda row: row[0]))[1]
 
 
 def seeds(points: Points, k: int, seed: int | None) -> np.ndarray:
-    """k centered seeds: the first a row at random, each next the best of 2 + floor(ln k) draws."""
+    """k centered seeds: the first a row at random, each next the best of 2 + floor(ln k) draws.
+
+    One pass a seed: the pass that scores the candidates also draws what would come
+    next after each of them.
+    """
     salt = int(np.random.default_rng(seed).integers(1 << 40))
-    chosen = _drawn(points, np.zeros((0, points.width)), salt, 1)
     trials = 2 + int(math.log(k))
-    for i in range(1, k):
-        candidates = _drawn(points, chosen, salt + i, trials)
-        best = int(_scored(points, chosen, candidates).argmin())
+    chosen = np.zeros((0, points.width))
+    candidates = _any_row(points, salt)[None]
+    for i in range(k):
+        sums, draws = _round(points, chosen, candidates, salt + i, trials)
+        best = int(sums.argmin())
         chosen = np.vstack([chosen, candidates[best]])
+        candidates = draws[best]
     return chosen

@@ -115,12 +115,15 @@ def iterate(method: Method, points: Points, centers: np.ndarray) -> Steps:
 
         rows = yield Progress(t, result)
         if method.until.last(t):
+            points.release()
             return result()
         if rows is not None:
             new = method.ready(prepared(rows, **method.source, width=centers.shape[1]))
             carry = method.kept(step.carry, points, new)
+            points.release()
             points = new
         elif reason == "tol":
+            points.release()
             return result()
         else:
             carry = step.carry

@@ -327,7 +327,8 @@ from mi, e, (select 'arithmetic' as average, (ha.v + hb.v) / 2 as mean from ha,
   union all select 'min', least(ha.v, hb.v) from ha, hb union all select 'max', greatest(ha.v, hb.v) from ha, hb)""")
 def adjusted_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _labels(spark, sf_dir)
-    rows = [(a, round(ami(df, "event_type", "quarter", average=a), 9)) for a in ("arithmetic", "geometric", "min", "max")]
+    averages = ["arithmetic", "geometric", "min", "max"]
+    rows = [(a, round(v, 9)) for a, v in zip(averages, ami(df, "event_type", "quarter", average=averages), strict=True)]
     return spark.createDataFrame(rows, "average string, ami double")
 
 
