@@ -62,13 +62,13 @@ def sliced(batch: pa.RecordBatch, text: str | int, most: int = SLICE_BYTES) -> I
 
 
 def map_text(
-    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text"
+    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most: int = SLICE_BYTES
 ) -> DataFrame:
-    """``step`` over slices of every batch, in the order of the rows."""
+    """``step`` over slices of every batch, of about ``most`` bytes of text, in the order of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, text):
+            for part in sliced(batch, text, most):
                 yield step(part)
 
     return df.mapInArrow(run, schema)

@@ -26,6 +26,8 @@ from .spm_model import BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, SpmModel
 
 #: Chunks that a worker's memo holds, give or take one batch.
 MEMO = 300_000
+#: Bytes of text handled at once: about 30 arrays of a number for each piece live together.
+SLICE = 3 << 20
 MARK = SPACE.encode()
 
 
@@ -117,7 +119,8 @@ class SentencePieces:
         self.of = {rank: pieces[x] for x, rank in ranks.items() if x in pieces}
         self.engine = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.shown = [p.encode() if k == NORMAL else bytes([int(p[3:5], 16)]) if k == BYTE else b"" for p, k in zip(model.pieces, model.kinds, strict=True)]
-        self.memo: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.kind = np.uint16 if len(model.pieces) <= 1 << 16 else np.uint32
 
     def __reduce__(self):
         return (opened, (self.path,))
@@ -221,15 +224,15 @@ class Encoded:
             found = memo.get(text)
             if found is None:
                 found = pieces.pieces(text.replace(" ", SPACE).encode())
-                found = np.array(found[0], np.uint16 if len(pieces.shown) <= 1 << 16 else np.uint32), np.array(found[1], np.uint32)
+                found = np.array(found[0], pieces.kind).tobytes(), np.array(found[1], np.uint32).tobytes()
                 if len(text) <= 64:
                     memo[text] = found
             ids.append(found[0])
             ends.append(found[1])
-        self.counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.counts = np.fromiter(map(len, ends), np.int64, len(ends)) // 4
         self.first = np.cumsum(self.counts) - self.counts
-        self.flat_ids = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
-        self.flat_ends = np.concatenate(ends) if ends else np.zeros(0, np.uint32)
+        self.flat_ids = np.frombuffer(b"".join(ids), pieces.kind)
+        self.flat_ends = np.frombuffer(b"".join(ends), np.uint32)
         each = self.counts[self.words.codes]
         #: Pieces of text i: ids[offsets[i]:offsets[i + 1]].
         self.offsets = np.concatenate([[0], np.cumsum(each)])[self.words.offsets]
@@ -361,7 +364,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (found.ids.astype(np.int32), *found.spans())]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "ids", "begins", "ends"])
 
-    return map_text(columns(df, doc_id=id_col, text=text_col), step, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
+    return map_text(columns(df, doc_id=id_col, text=text_col), step, "doc_id long, ids array<int>, begins array<int>, ends array<int>", most=SLICE)
 
 
 def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -399,4 +402,4 @@ def digest_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         ]
         return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in DIGEST.split(", ")])
 
-    return map_text(columns(df, doc_id=id_col, text=text_col), step, DIGEST)
+    return map_text(columns(df, doc_id=id_col, text=text_col), step, DIGEST, most=SLICE)
