@@ -53,7 +53,10 @@ HINTS = {
     "comment": "comment comments reply replies respond disqus discussion feedback",
 }
 HINT = {word: i for i, words in enumerate(HINTS.values()) for word in words.split()}
-EXTRA = ["links", "hidden", "chars_log", "short", "sentence", "sign", "link_all"]
+EXTRA = ["links", "hidden", "chars_log", "short", "sentence", "sign", "link_all", "plain_list"]
+#: Kinds of parent and child that share a potential: an element in the root, in a
+#: container or elsewhere, and a text.
+PAIRS = 4
 N_FEATURES = 1 + len(NODE_KINDS) + len(HINTS) + len(EXTRA)
 
 TOKEN = re.compile(
@@ -242,10 +245,11 @@ def forest(pages: list[Page]) -> Forest:
     ends = np.array([bool(t) and t[-1] in ".!?…:;\"'”»" for t in found])
     sign = np.array([bool(t) and ("©" in t or "(c)" in t.lower()) for t in found])
     for i, column in enumerate(
-        (share, hints >> len(HINTS) & 1, np.log1p(all_chars) / 6, is_text & (chars < 25), is_text & ends, sign, (share > 0.9) & (all_chars > 0))
+        (share, hints >> len(HINTS) & 1, np.log1p(all_chars) / 6, is_text & (chars < 25), is_text & ends, sign, (share > 0.9) & (all_chars > 0), ((kind == NUMBER["list"]) | (kind == NUMBER["item"])) & (share < 0.3))
     ):
         x[:, at + i] = column
-    pair = np.where(is_text, 1, 0)
+    above = kind[np.maximum(parent, 0)]
+    pair = np.where(is_text, 3, np.where(above == NUMBER["root"], 0, np.where(above == NUMBER["container"], 1, 2)))
     return Forest(parent, levels, x, pair, label, found, np.repeat(np.arange(len(pages)), sizes))
 
 
@@ -287,18 +291,18 @@ class TreeModel:
         return content, joint
 
 
-def train(pages: list[Page], steps: int = 150, rate: float = 0.8, penalty: float = 0.1) -> TreeModel:
+def train(pages: list[Page], steps: int = 120, rate: float = 0.8, penalty: float = 0.1) -> TreeModel:
     """Maximum likelihood of labelled pages by adaptive gradient steps; exact marginals."""
     f = forest(pages)
     y = f.label.astype(float)
     inner = f.parent >= 0
-    model = TreeModel(np.zeros(N_FEATURES), np.zeros((2, 2, 2)))
-    seen = np.zeros((2, 2, 2))
+    model = TreeModel(np.zeros(N_FEATURES), np.zeros((PAIRS, 2, 2)))
+    seen = np.zeros((PAIRS, 2, 2))
     np.add.at(seen, (f.pair[inner], f.label[f.parent[inner]], f.label[inner]), 1)
     squares = [np.zeros_like(model.own), np.zeros_like(model.pairs)]
     for _ in range(steps):
         content, joint = model.marginals(f)
-        expected = np.zeros((2, 2, 2))
+        expected = np.zeros((PAIRS, 2, 2))
         np.add.at(expected, f.pair[inner], joint[inner])
         for weights, grad, square in zip((model.own, model.pairs), (f.features.T @ (y - content), seen - expected), squares, strict=True):
             grad = grad - penalty * weights
@@ -307,7 +311,7 @@ def train(pages: list[Page], steps: int = 150, rate: float = 0.8, penalty: float
     return model
 
 
-def labelled_pages(n: int = 300, seed: int = 7) -> Iterator[str]:
+def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[str]:
     """Invented pages whose ``data-content`` attributes say what is content (1) and what not (0).
 
     They vary in markup: with and without sectioning elements, in wrappers, with
@@ -331,7 +335,13 @@ def labelled_pages(n: int = 300, seed: int = 7) -> Iterator[str]:
         return words(low, high).capitalize() + one(".", ".", ".", "!", "?", "")
 
     def paragraph() -> str:
-        inner = " ".join(sentence() for _ in range(int(draw.integers(1, 6))))
+        kind = draw.random()
+        if kind < 0.15:
+            inner = sentence(1, 4)
+        elif kind < 0.25:
+            inner = words(30, 200)
+        else:
+            inner = " ".join(sentence() for _ in range(int(draw.integers(1, 6))))
         if chance(0.2):
             inner += f' <a href="/x">{words(1, 4)}</a> {sentence()}'
         if chance(0.15):
@@ -372,7 +382,11 @@ def labelled_pages(n: int = 300, seed: int = 7) -> Iterator[str]:
             one(f'<div class="comment"><p>{sentence()} {sentence()}</p></div>', f"<li><b>{words(1, 2)}</b><p>{sentence()}</p></li>", f"<p>{sentence()}</p>")
             for _ in range(int(draw.integers(1, 6)))
         )
-        return one(off("section", f"<h2>{words(1, 3)}</h2>{each}", "comments", "comment-list"), off("div", f"<h3>{words(1, 2)}</h3><ol>{each}</ol>", "comments", "responses reply", "disqus"))
+        return one(off("section", f"<h2>{words(1, 3)}</h2>{each}", "comments", "comment-list", "reader-comments"), off("div", f"<h3>{words(1, 2)}</h3><ol>{each}</ol>", "comments", "responses reply", "disqus"))
+
+    def hidden() -> str:
+        how = one('style="display:none"', "hidden", 'aria-hidden="true"')
+        return f'<{(tag := one("div", "p"))} {how} data-content="0">{sentence()}</{tag}>'
 
     def footer() -> str:
         inner = one(f"&copy; {words(1, 3)} &middot; {sentence()}", f"<p>{sentence()}</p>{links()}", f"{links()}<p>&copy; 2020 {words(1, 3)}</p>", sentence())
@@ -380,6 +394,8 @@ def labelled_pages(n: int = 300, seed: int = 7) -> Iterator[str]:
 
     def body() -> str:
         parts = [f"<h1>{one(words(2, 9), sentence())}</h1>"] if chance(0.85) else []
+        if parts and chance(0.12):
+            parts = [f"<header>{parts[0]}</header>"]
         for _ in range(int(draw.integers(1, 8))):
             kind = draw.random()
             if kind < 0.72:
@@ -400,10 +416,12 @@ def labelled_pages(n: int = 300, seed: int = 7) -> Iterator[str]:
                 parts.append(f"<div>{paragraph()}{sentence()}</div>")
             else:
                 parts.append(f'<figure><img src="x.png"><figcaption>{sentence()}</figcaption></figure>')
-            if chance(0.1):
-                parts.append(one(ad, aside, form, notice)())
+            if chance(0.15):
+                parts.append(one(ad, aside, form, notice, hidden, comments)())
         if chance(0.1):
             parts.append(off("div", links(1, 4), "share", "social", "tags", "related"))
+        if chance(0.08):
+            parts.append(off("footer", one(sentence(2, 6), f"<p>{sentence(2, 6)}</p>", links(1, 4))))
         return "".join(parts)
 
     def article() -> str:
@@ -423,19 +441,24 @@ def labelled_pages(n: int = 300, seed: int = 7) -> Iterator[str]:
         if chance(0.4):
             top = f"<h2>{words(1, 3)}</h2>" if chance(0.5) else f'<a href="/">{words(1, 3)}</a><p>{sentence(2, 6)}</p>'
             before.append(one(off("header", top + (nav() if chance(0.5) else "")), off("div", top, "header", "masthead", "topbar")))
-        after = [f() for f in (aside, comments, ad, notice) if chance(0.4)] + ([footer()] if chance(0.8) else [])
+        after = [f() for f in (aside, comments, ad, notice, hidden) if chance(0.4)] + ([footer()] if chance(0.8) else [])
         draw.shuffle(before)
         inner = "".join(before) + article() + "".join(after)
-        if chance(0.3):
+        bare = chance(0.08)
+        if bare:
+            # Content lies in the body itself, between blocks that are none.
+            inner = "".join(before) + body() + "".join(after)
+        elif chance(0.3):
             inner = f'<div {one("id", "class")}="{one("page", "wrapper", "container")}">{inner}</div>'
-        if chance(0.1):
+        elif chance(0.12):
             inner = "".join(before) + '<main data-content="1">' + article() + "</main>" + "".join(after)
         head = f"<head><title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-        yield f"<!DOCTYPE html><html>{head}<body>{inner}" + one("</body></html>", "")
+        mark = ' data-content="1"' if bare else ""
+        yield f"<!DOCTYPE html><html>{head}<body{mark}>{inner}" + one("</body></html>", "")
 
 
 #: Labelled pages on which the model is trained.
-TRAINING_PAGES = 300
+TRAINING_PAGES = 500
 
 
 @cache
