@@ -291,7 +291,7 @@ class TreeModel:
         return content, joint
 
 
-def train(pages: list[Page], steps: int = 120, rate: float = 0.8, penalty: float = 0.1) -> TreeModel:
+def train(pages: list[Page], steps: int = 250, rate: float = 1.0, penalty: float = 0.03) -> TreeModel:
     """Maximum likelihood of labelled pages by adaptive gradient steps; exact marginals."""
     f = forest(pages)
     y = f.label.astype(float)
@@ -396,7 +396,7 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[str]:
         parts = [f"<h1>{one(words(2, 9), sentence())}</h1>"] if chance(0.85) else []
         if parts and chance(0.12):
             parts = [f"<header>{parts[0]}</header>"]
-        for _ in range(int(draw.integers(1, 8))):
+        for _ in range(int(draw.integers(1, 3) if chance(0.35) else draw.integers(1, 8))):
             kind = draw.random()
             if kind < 0.72:
                 parts.append(paragraph())
@@ -418,6 +418,8 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[str]:
                 parts.append(f'<figure><img src="x.png"><figcaption>{sentence()}</figcaption></figure>')
             if chance(0.15):
                 parts.append(one(ad, aside, form, notice, hidden, comments)())
+        if chance(0.08):
+            parts += [f"<p>{sentence(1, 4)}</p>" for _ in range(int(draw.integers(20, 120)))]
         if chance(0.1):
             parts.append(off("div", links(1, 4), "share", "social", "tags", "related"))
         if chance(0.08):
