@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from . import apply, batch_som, efcm, fcm, kmeans, minimize, rcm, rmcm, som, som_olp, steps, uniform
 from .functions.columns import effective_units, scaling, standardized
-from .operators.maps import principal_start, unit_coordinates
-from .operators.metrics import Neighborhood, ami, ari, contingency, continuity, trustworthiness
+from .operators.maps import covariance, map_quality, principal_start, unit_coordinates
+from .operators.metrics import Counts, Neighborhood, Table, ami, ari, contingency, continuity, expected_information, nearest_rows, ranks, trustworthiness
 from .operators.neighbors import pairs_within
 from .plans.engine import Result
 from .sources.points import prepared
@@ -98,14 +98,27 @@ def rough_share(alpha: float, beta: float) -> str:
     return f"{held} / sum({held}) over (partition by id)"
 
 
-def trained_sql(points: str, start, share: str, steps: int, power: int = 1, x: tuple[str, str] | None = None) -> str:
-    """Centers after a number of steps. ``x``: columns to add up instead of the features, and their mass."""
+def trained_sql(points: str, start, share: str, steps: int, power: int = 1, x: tuple[str, str] | None = None, objective: str = "") -> str:
+    """Centers after a number of steps, or the objective at each step.
+
+    ``x``: columns to add up instead of the features, and their mass. ``objective``: of
+    a row, from its distances d2 and the least of them, low.
+    """
     width = len(start[0])
     c, xs = ", ".join(f"c{d}" for d in range(width)), ", ".join(f"x{d}" for d in range(width))
     add, mass = x or ("x{d}", "1.0")
     new = ", ".join(f"case when sum(w * {mass}) > 0 then sum(w * {add.format(d=d)}) / sum(w * {mass}) else c{d} end" for d in range(width))
     extra = ", y0, y1, z" if x else ""
     rounded = ", ".join(f"round(c{d}, 5) as c{d}" for d in range(width))
+    last = f"""
+select unit, {rounded}, {steps} as n_iter from it where t = {steps}"""
+    if objective:
+        last = f"""
+select cast(t + 1 as int) as iteration, round(sum(v), 4) as objective
+from (select t, id, {objective} as v
+      from (select t, id, d2, min(d2) over (partition by t, id) as low
+            from (select t, id, {squared(width)} as d2 from it, p where t < {steps})) group by t, id, low)
+group by t"""
     return f"""
 with recursive p as ({points}), it(t, unit, {c}) as (
   select 0, unit, {c} from {values(start)}
@@ -116,8 +129,7 @@ with recursive p as ({points}), it(t, unit, {c}) as (
               from (select *, min(d2) over (partition by id) as low
                     from (select it.*, id, {xs}{extra}, {squared(width)} as d2 from it, p where t < {steps}))))
   group by t, unit, {c}
-)
-select unit, {rounded}, {steps} as n_iter from it where t = {steps}"""
+){last}"""
 
 
 def shares_sql(points: str, start, share: str) -> str:
@@ -395,6 +407,80 @@ def effective_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_id", F.round(effective_units("membership"), 6).alias("units"))
 
 
+def objectives(spark: SparkSession, result: Result) -> DataFrame:
+    """(iteration, objective) of a run."""
+    return spark.createDataFrame([(i + 1, round(float(v), 4)) for i, v in enumerate(result.history)], "iteration int, objective double")
+
+
+@query(trained_sql(LINES, LINE_START, NEAREST, 5, objective="low"))
+def kmeans_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objectives(spark, kmeans(lines(spark, sf_dir), 4, features=FOUR, init=LINE_START, max_iter=5))
+
+
+@query(trained_sql(EVENTS, EVENT_START, FUZZY, 5, 2, objective="1 / sum(1 / d2)"))
+def fcm_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objectives(spark, fcm(events(spark, sf_dir), 4, features=XY, init=EVENT_START, max_iter=5, tol=0.0))
+
+
+@query(trained_sql(EVENTS, EVENT_START, soft_share(5.0), 4, objective="low - 5.0 * ln(sum(exp((low - d2) / 5.0)))"))
+def efcm_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objectives(spark, efcm(events(spark, sf_dir), 4, features=XY, init=EVENT_START, tau=5.0, max_iter=4, tol=0.0))
+
+
+@query(f"""
+with p as ({LINES}), s as (select round(covar_pop(x0, x0), 6) as c00, round(covar_pop(x0, x1), 6) as c01, round(covar_pop(x0, x2), 6) as c02, round(covar_pop(x0, x3), 6) as c03,
+  round(covar_pop(x1, x1), 6) as c11, round(covar_pop(x1, x2), 6) as c12, round(covar_pop(x1, x3), 6) as c13, round(covar_pop(x2, x2), 6) as c22,
+  round(covar_pop(x2, x3), 6) as c23, round(covar_pop(x3, x3), 6) as c33 from p) select * from s""")
+def line_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = covariance(prepared(lines(spark, sf_dir), FOUR))
+    cells = [(i, j) for i in range(4) for j in range(i, 4)]
+    return spark.createDataFrame([tuple(round(float(found[c]), 6) for c in cells)], ", ".join(f"c{i}{j} double" for i, j in cells))
+
+
+@query(f"""
+with p as ({EVENTS}), d as (select id, min({squared(2)}) as d2 from p, {values(EVENT_START)} group by id) select round(avg(d2), 6) as error from d""")
+def quantization_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = prepared(events(spark, sf_dir), XY)
+    return spark.createDataFrame([(round(map_quality(points, np.array(EVENT_START)), 6),)], "error double")
+
+
+PAIRS = """
+with v as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as x from embeddings),
+d as (select a.id as i, b.id as j, list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as dx,
+  (a.x[1] - b.x[1]) * (a.x[1] - b.x[1]) + (a.x[2] - b.x[2]) * (a.x[2] - b.x[2]) as dy from v a join v b on a.id <> b.id),
+r as (select i, j, cast(row_number() over (partition by i order by dy, j) as int) as place, row_number() over (partition by i order by dx, j) as rank from d)"""
+
+
+@query(PAIRS + " select i, j, place from r where place <= 5")
+def nearest_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's five nearest others in its first two components."""
+    return nearest_rows(_spaces(spark, sf_dir)[1], 5)
+
+
+@query(PAIRS + " select i, j, cast(place as bigint) as place, rank from r where place <= 5")
+def neighbour_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks in all components of the five nearest in the first two."""
+    x, y = _spaces(spark, sf_dir)
+    return ranks(x, nearest_rows(y, 5))
+
+
+@query(f"""
+with l as ({LABELS}), c as (select a, b, count(*) as n from l group by all), r as (select a, sum(n)::bigint as na from c group by a),
+k as (select b, sum(n)::bigint as nb from c group by b), t as (select sum(n)::bigint as n from c)
+select round((select sum(c.n / t.n * (ln(c.n) + ln(t.n) - ln(na) - ln(nb))) from c join r using (a) join k using (b), t), 9) as information,
+  round((select sum(-na / t.n * ln(na / t.n)) from r, t), 9) as entropy_a, round((select sum(-nb / t.n * ln(nb / t.n)) from k, t), 9) as entropy_b,
+  round((select sum(m / n * (ln(n) + ln(m) - ln(na) - ln(nb)) * exp(lgamma(na + 1) + lgamma(nb + 1) + lgamma(n - na + 1) + lgamma(n - nb + 1) - lgamma(n + 1)
+    - lgamma(m + 1) - lgamma(na - m + 1) - lgamma(nb - m + 1) - lgamma(n - na - nb + m + 1)))
+  from (select na, nb, n, unnest(range(greatest(1, na + nb - n), least(na, nb) + 1)) as m from r, k, t)), 9) as expected""")
+def label_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information, entropies, and the information expected by chance."""
+    table_ = Table.of(_labels(spark, sf_dir), "event_type", "quarter")
+    cells, rows, cols = Counts.of(table_.cells, "n"), Counts.of(table_.rows, "na"), Counts.of(table_.cols, "nb")
+    information = np.log(cells.n) + (cells.logs - rows.logs - cols.logs) / cells.n
+    found = (information, rows.entropy, cols.entropy, expected_information(table_, cells.n))
+    return spark.createDataFrame([tuple(round(float(v), 9) for v in found)], "information double, entropy_a double, entropy_b double, expected double")
+
+
 # Random draws, searches and streams: no SQL states them.
 @query()
 def seeded_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
