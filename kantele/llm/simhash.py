@@ -297,19 +297,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``fingerprint`` as 16 hexadecimal digits; ``component_id`` is the least doc_id
     reachable over fingerprints that differ in at most 3 bits. Null and empty texts
-    have fingerprint 0, linked like any other; rows without an id take part, but are
-    no component's least unless it has no other id; repeated rows are kept; other
-    columns take no part; an empty table gives no row.
+    have fingerprint 0, linked like any other; a row without an id links nothing and
+    has no component; repeated rows are kept; other columns take no part; an empty
+    table gives no row.
+
+    Links join the least ids of the fingerprints, so that a group's least node is
+    its component and no large group meets in a join.
     """
     prints = written(with_fingerprint(df, id_col, text_col), "prints")
-    each = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
-    found = groups(near_links(each))
-    joined = each.join(found, each["fingerprint"] == found["node"], "left")
-    joined = joined.select("fingerprint", "least", F.coalesce("group", "fingerprint").alias("group"))
-    least = joined.groupBy("group").agg(F.min("least").alias("component_id"))
-    of = written(joined.join(least, "group").select("fingerprint", "component_id"), "components")
-    out = prints.join(of, "fingerprint")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    each = written(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
+    links = near_links(each)
+    for end in ("a", "b"):
+        links = links.join(each.select(F.col("fingerprint").alias(end), F.col("least").alias(f"{end}_least")), end)
+    found = groups(links.select(F.col("a_least").alias("a"), F.col("b_least").alias("b")))
+    of = each.join(found, each["least"] == found["node"], "left")
+    of = written(of.select("fingerprint", F.coalesce("group", "least").alias("component_id")), "components")
+    out = prints.join(of, "fingerprint", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), component)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
