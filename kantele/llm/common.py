@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step inside a task handles at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

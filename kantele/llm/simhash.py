@@ -26,6 +26,8 @@ from .common import columns, map_text, texts, words, written
 SHINGLE, SEED, BUDGET = 3, 42, 3
 #: Cells with more fingerprints are split by so many bits, and one for each doubling.
 CELL, SPLIT_BITS = 2000, 4
+#: Bytes of text whose shingles are hashed at once.
+SLICE = 4 << 20
 #: Node pairs of at most so many leaf pairs are compared leaf by leaf.
 LEAVES = 64
 
@@ -91,7 +93,7 @@ def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = fingerprints(batch.column("text")).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fingerprint"])
 
-    return map_text(columns(df, doc_id=id_col, text=text_col), step, "doc_id long, fingerprint long")
+    return map_text(columns(df, doc_id=id_col, text=text_col), step, "doc_id long, fingerprint long", most=SLICE)
 
 
 class Forest:
