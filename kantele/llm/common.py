@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -10,25 +9,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: Bytes of text that one step inside a task handles at once.
 SLICE_BYTES = 8 << 20
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (a local run, a test) a temporary folder is
-    made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kantele-"))
-    return str(spark.sparkContext.getCheckpointDir())
+#: Types of the operators' own columns.
+KINDS = {"doc_id": "long", "page_id": "long", "vec_id": "long", "text": "string", "html": "string", "url": "string"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,11 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def columns(df: DataFrame, **names: str) -> DataFrame:
-    """Only the named columns, under the operator's own names.
+    """Only the named columns, under the operator's own names and types.
 
     Any other column, whatever it is called, takes no part.
     """
-    return df.select(*(F.col(f"`{of}`").alias(to) for to, of in names.items()))
+    return df.select(*(F.col(f"`{of}`").cast(KINDS[to]).alias(to) if to in KINDS else F.col(f"`{of}`").alias(to) for to, of in names.items()))
 
 
 def sliced(batch: pa.RecordBatch, text: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
