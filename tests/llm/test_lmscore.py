@@ -87,3 +87,43 @@ def test_pairs_stay_within_a_text():
     of, offsets = lm.classes(pa.array(["a b", "", "c", "d e f"]))
     _, second = lm.pairs(of, offsets)
     assert second.tolist() == [1, 4, 5]
+
+
+class Exact:
+    """Counts of unhashed words, and of pairs of them."""
+
+    def __init__(self, rows):
+        self.texts = [re.findall("[^\x20\x09-\x0d]+", x.lower()) for x in rows]
+        self.single, self.pair = Counter(), Counter()
+        for t in self.texts:
+            self.single.update(t)
+            self.pair.update(zip(t, t[1:], strict=False))
+        self.n, self.scale, self.size = sum(self.single.values()), 1.0, 0
+
+    def loss(self, t):
+        total = 0.0
+        for i, w in enumerate(t):
+            p = (self.single[w] * self.scale + lm.ALPHA) / (self.n * self.scale + lm.ALPHA * self.size)
+            if i:
+                p = (self.pair[t[i - 1], w] * self.scale + lm.BETA * p) / (self.single[t[i - 1]] * self.scale + lm.BETA)
+            total -= math.log(p)
+        return total / max(1, len(t))
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_counts_of_many_words_are_exact(spark, other):
+    """More words than 2^WORD_BITS: none shares a count with another."""
+    rng = np.random.default_rng(3)
+    rows = [" ".join(f"w{x}" for x in rng.integers(0, 400_000, 500)) for _ in range(3000)]
+    target = rows[:50] + ["w1 w2 w3 only here"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    a, b = Exact(target), Exact(rows)
+    a.size = b.size = len(a.single.keys() | b.single.keys())
+    b.scale = a.n / b.n
+    assert a.size > 1 << lm.WORD_BITS
+    model = lm.Difference.fit(spark.createDataFrame([(x,) for x in target], "text string"), docs)
+    found = lm.score_documents(docs.where("doc_id < 300") if other else docs, model).where("doc_id < 300").collect()
+    assert len(found) == 300
+    for r in found:
+        t = b.texts[r.doc_id]
+        assert (r.n_tokens, r.target_loss, r.background_loss) == (500, pytest.approx(a.loss(t), rel=1e-9), pytest.approx(b.loss(t), rel=1e-9))
