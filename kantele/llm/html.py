@@ -80,8 +80,11 @@ class Page:
     label: list[int]
 
 
-def parse(html: str) -> Page:
-    """The block tree of a page, tolerant of unclosed and stray tags."""
+def parse(html: str, labelled: bool = True) -> Page:
+    """The block tree of a page, tolerant of unclosed and stray tags.
+
+    Only pages of ``labelled_pages`` are ``labelled``: elsewhere ``data-content`` can hold anything.
+    """
     page = Page([-1], [NUMBER["root"]], [0], [None], [0], [0], [0])
     stack: list[tuple[str, int]] = [("", 0)]  # name, node; inline elements share their block's node
     run: list[str] = []
@@ -174,7 +177,8 @@ def parse(html: str) -> Page:
             for key, value in ATTRIBUTE.findall(rest):
                 value = value.strip("\"'")
                 if key.lower() == "data-content":
-                    label = int(value)
+                    if labelled:
+                        label = int(value)
                     continue
                 for part in PART.findall(value):
                     hint = HINT.get(part.lower())
@@ -471,7 +475,7 @@ def trained() -> TreeModel:
 
 def main_texts(column: pa.Array, model: TreeModel) -> list[str]:
     """The main text of every page: content blocks in page order, one on a line."""
-    pages = [parse(x) for x in texts(column).to_pylist()]
+    pages = [parse(x, labelled=False) for x in texts(column).to_pylist()]
     if not pages:
         return []
     f = forest(pages)

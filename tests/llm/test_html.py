@@ -109,3 +109,9 @@ def test_odd_pages(spark, model):
     assert len(out) == len(rows)
     assert {r.text for r in out if r.page_id in (1, 2)} == {""}
     assert html.extract(df.limit(0), model).count() == 0
+
+
+def test_data_content_of_real_pages_is_no_label(model):
+    for value in ("Some popover text", "", "2", "1"):
+        page = f"<article><h1>Title</h1><div data-content='{value}'><p>{T}</p></div><p>{S}</p></article>"
+        assert html.main_texts(pa.array([page]), model) == [f"Title\n{T}\n{S}"]
