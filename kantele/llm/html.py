@@ -24,10 +24,13 @@ from .common import columns, sliced, texts
 
 #: Fixed lists of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript iframe template svg math textarea xmp object canvas audio video select".split())
+RAW = frozenset("script style title textarea".split())
+#: Elements that can stand in a paragraph and hold blocks.
+EMBEDDED = frozenset("noscript iframe template svg object canvas audio video select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span "
-    "strike strong sub sup time tt u var wbr nobr center".split()
+    "strike strong sub sup time tt u var wbr nobr center "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mfenced semantics".split()
 )
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -149,8 +152,9 @@ def parse(html: str, labelled: bool = True) -> Page:
             continue
         if name in RAW and not rest.endswith("/"):
             close = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(html, at)
-            at = close.end() if close else end
-            continue
+            if close or name in ("script", "style"):
+                at = close.end() if close else end
+                continue
         if name == "br":
             run.append(" ")
             continue
@@ -164,7 +168,7 @@ def parse(html: str, labelled: bool = True) -> Page:
             continue
         # A block ends an open paragraph; items and cells end their like.
         closed, within = CLOSES.get(name, ((), ()))
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(0 if name in EMBEDDED else len(stack) - 1, 0, -1):
             if stack[i][0] in closed or stack[i][0] == "p":
                 pop(i)
                 break
@@ -492,7 +496,9 @@ def extract(df: DataFrame, model: TreeModel | None = None, id_col: str = "page_i
 
     ``text``: the content blocks, character references decoded, white space within a
     block as one space, blocks joined by a line feed. Null and empty pages, and
-    pages without content, have the empty text; null ids and repeated rows are kept;
+    pages without content, have the empty text. Never content: comments, and what
+    script, style, title and textarea hold; a script or style that isn't closed runs to
+    the end of the page, as in browsers. Null ids and repeated rows are kept;
     other columns take no part; an empty table gives no row. One narrow pass.
     """
     model = model or trained()

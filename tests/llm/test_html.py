@@ -115,3 +115,21 @@ def test_data_content_of_real_pages_is_no_label(model):
     for value in ("Some popover text", "", "2", "1"):
         page = f"<article><h1>Title</h1><div data-content='{value}'><p>{T}</p></div><p>{S}</p></article>"
         assert html.main_texts(pa.array([page]), model) == [f"Title\n{T}\n{S}"]
+
+
+@pytest.mark.parametrize("name", ["video", "audio", "object", "svg", "math", "canvas", "noscript", "iframe", "template", "select", "xmp", "title", "textarea"])
+def test_unclosed_elements_end_at_their_parent(name):
+    page = html.parse(f"<body><div><{name}></div><article><p>{T}</p><p>{S}</p></article></body>", labelled=False)
+    assert [t for t in page.text if t] == [T, S]
+
+
+@pytest.mark.parametrize("name", ["math", "xmp", "noscript", "video", "object", "canvas"])
+def test_text_in_embedded_elements(model, name):
+    page = f"<article><h1>Title</h1><p>{T}</p><{name}><p>{S}</p></{name}><p>{T}</p></article>"
+    assert html.main_texts(pa.array([page]), model) == [f"Title\n{T}\n{S}\n{T}"]
+
+
+def test_embedded_elements_do_not_end_a_paragraph():
+    page = html.parse("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b<noscript>c</noscript>d</p><script>no", labelled=False)
+    assert [t for t in page.text if t] == ["a x=1 b", "c", "d"]
+    assert [page.kind[p] for p, t in zip(page.parent, page.text, strict=True) if t] == [html.NUMBER[k] for k in ("paragraph", "container", "paragraph")]
