@@ -131,7 +131,7 @@ def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x
 
 
 def top_k(
-    df: DataFrame, is_query: str, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding"
+    df: DataFrame, is_query: str, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", repeats: bool = False
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k highest inner products.
 
@@ -139,11 +139,12 @@ def top_k(
     condition ``is_query`` on ``vec_id``; candidates are all rows with another id;
     all, if there are fewer than k. Ties go to the smaller id. Vectors null, empty
     or holding null or a non-finite component, and rows without an id, take no part;
-    vectors of another length than a query's are no candidates of it; of rows that
-    repeat an id the least vector takes part; other columns take no part; an empty
-    table gives no row.
+    vectors of another length than a query's are no candidates of it; other columns take
+    no part; an empty table gives no row. With ``repeats``, rows that repeat an id all
+    take part, and the rows of a query's id share its k places; else of those of one
+    length the least vector alone takes part.
 
-    Rows are dealt to blocks by a hash of their id. Every query block meets the
+    Rows are dealt to blocks by a hash of their id, with ``repeats`` also of their vector. Every query block meets the
     candidate blocks in tasks of SHARE blocks, each of which sends on k rows a query:
     what a task holds doesn't grow with the input.
     """
@@ -159,18 +160,20 @@ def top_k(
         """One row for each vector length in the block."""
         at, vectors = integers(found.column("embedding").combine_chunks(), scale)
         ids = found.column("vec_id").to_numpy()
-        held: dict[int, dict[int, np.ndarray]] = {}
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, x in sorted(zip(ids[at].tolist(), vectors, strict=True), key=lambda v: (v[0], v[1].tolist())):
-            held.setdefault(len(x), {}).setdefault(i, x)
-        out = [(key[0].as_py(), width, np.array(list(v), "<i8").tobytes(), np.array(list(v.values()), "<i8").tobytes()) for width, v in sorted(held.items())]
+            same = held.setdefault(len(x), [])
+            if repeats or not same or same[-1][0] != i:
+                same.append((i, x))
+        out = [(key[0].as_py(), width, *(np.array(list(c), "<i8").tobytes() for c in zip(*v, strict=True))) for width, v in sorted(held.items())]
         kinds = {"block": pa.int64(), "width": pa.int32(), "ids": pa.binary(), "data": pa.binary()}
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds.items())})
 
     def packed(of: DataFrame, n: int) -> DataFrame:
-        number = F.pmod(F.xxhash64("vec_id"), F.lit(n))
+        number = F.pmod(F.xxhash64("vec_id", *(["embedding"] if repeats else [])), F.lit(n))
         return of.withColumn("block", number).groupBy("block").applyInArrow(pack, "block long, width int, ids binary, data binary")
 
-    # A repeated id's vectors meet in one block, of either side.
+    # Without repeats, a repeated id's vectors meet in one block, of either side.
     candidates = written(packed(rows, blocks), "candidates")
     queries = written(packed(chosen, query_blocks), "queries")
     spread = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>"))

@@ -57,3 +57,17 @@ def test_equals_sql(spark):
     con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
     expected = set(con.execute(f"select query_id, rank, vec_id, score from ({queries.OP8_SQL})").fetchall())
     assert {tuple(r) for r in queries.op8_top_k(spark, folder).collect()} == expected and len(expected) == 50
+
+
+def test_repeated_ids_equal_sql(spark, tmp_path, monkeypatch):
+    """Every row of a repeated id takes part, as a query and as a candidate."""
+    monkeypatch.setattr(topk, "ROWS", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(90)]
+    rows += [(i, (3 * rng.normal(size=6)).round(1).tolist()) for i in (0, 0, 7, 7, 50, 61)] + [rows[50], rows[7]]
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/*.parquet'")
+    expected = sorted(con.execute(f"select query_id, rank, vec_id, score from ({queries.OP8_SQL})").fetchall())
+    assert sorted(tuple(r) for r in queries.op8_top_k(spark, str(tmp_path)).collect()) == expected and len(expected) == 10
