@@ -106,7 +106,12 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> boosting.Trees:
-    """Trees for P(quality = 1), fitted on at most ``most`` labelled documents."""
+    """Trees for P(quality = 1), fitted on at most ``most`` labelled documents.
+
+    One row of features for each labelled id comes to the driver, however often the
+    id is repeated (``labelled``). Without labels the trees are none and judge() goes
+    by their first guess.
+    """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, x = statistics(batch.column("text"))
@@ -152,7 +157,12 @@ def judge(df: DataFrame, trees: boosting.Trees, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, trees: boosting.Trees, text_col: str = "text") -> DataFrame:
-    """The rows that judge() would keep, with all their columns."""
+    """The rows that judge() would keep, with all their columns.
+
+    Null and empty texts fail the base rules and go; rows without an id are judged by
+    their text like any other; repeated rows stay or go together; other columns,
+    whatever their names, go along; an empty table gives an empty one. One narrow pass.
+    """
 
     def verdict(column: pa.Array) -> np.ndarray:
         base, x = statistics(column)
