@@ -4,8 +4,9 @@ Fingerprints within 3 bits agree on at least one of four 16-bit quarters. Each
 distinct fingerprint goes to its four (quarter, value) cells; a cell's fingerprints,
 turned so that the shared quarter comes first, form a binary trie, which is joined
 with itself: pairs of nodes go down together, differing bits add up, and a pair is
-left as soon as they exceed the budget. A cell with many fingerprints is split by
-its most even bits into pairs of sub-tries, each joined in a task of its own.
+left as soon as they exceed the budget. The other 48 bits of a cell with many
+fingerprints are dealt to four blocks, the most even bits first; within 3 bits one
+block is equal, so the cell splits into smaller tries at four copies a fingerprint.
 
 A cell reports a forest of links, not all pairs; groups are then joined across
 cells by rounds of smallest-neighbour hooking.
@@ -21,11 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_text, texts, words, written
+from .common import columns, discard, map_text, texts, words, written
 
 SHINGLE, SEED, BUDGET = 3, 42, 3
-#: Cells with more fingerprints are split by so many bits, and one for each doubling.
-CELL, SPLIT_BITS = 2000, 4
+#: Cells with more fingerprints are split, each block by so many bits and one for each doubling.
+CELL, SPLIT_BITS = 2000, 2
+#: Blocks that the other bits of a large cell are dealt to, and the bits of one.
+BLOCKS, BLOCK_BITS = 4, 12
+#: Rows that a task of the join reads (about).
+TASK_ROWS = 1 << 20
+#: A fingerprint of more than this share of the rows is joined apart; there are fewer
+#: such fingerprints than its inverse.
+HOT = 1000
 #: Bytes of text whose shingles are hashed at once.
 SLICE = 4 << 20
 #: Node pairs of at most so many leaf pairs are compared leaf by leaf.
@@ -86,14 +94,22 @@ def fingerprints(column: pa.Array, size: int = SHINGLE) -> np.ndarray:
     return majority(hashes, np.concatenate([[0], np.cumsum(shingles)]))
 
 
-def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of every row, the fingerprint as a signed 64-bit number."""
+def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fingerprint) of every row, the fingerprint as a signed 64-bit number.
+
+    With ``hashed`` also the text's hash and length, as Spark has them.
+    """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = fingerprints(batch.column("text")).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fingerprint"])
+        arrays = [batch.column("doc_id"), pa.array(found)]
+        arrays += [batch.column(name) for name in ("hash", "size") if hashed]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "fingerprint", "hash", "size"][: len(arrays)])
 
-    return map_text(columns(df, doc_id=id_col, text=text_col), step, "doc_id long, fingerprint long", most=SLICE)
+    docs = columns(df, doc_id=id_col, text=text_col)
+    if hashed:
+        docs = docs.select("*", F.xxhash64("text").alias("hash"), F.length("text").alias("size"))
+    return map_text(docs, step, "doc_id long, fingerprint long" + (", hash long, size int" if hashed else ""), most=SLICE)
 
 
 class Forest:
@@ -196,82 +212,103 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, forest: Forest, budget
             stack += [(p, q) for p in parts_x for q in parts_y]
 
 
-def near_links(prints: DataFrame) -> DataFrame:
+def near_links(prints: DataFrame, rows: int | None = None) -> DataFrame:
     """(a, b): links that join all fingerprints within BUDGET bits, column ``fingerprint``.
 
     Each pair of distinct fingerprints within the budget is linked directly or by a
-    chain of links. A cell's links are fewer than its fingerprints.
+    chain of links. Links of a cell of more than LEAVES pairs are a forest, fewer
+    than its fingerprints. ``rows`` is the number of fingerprints, counted if not given.
     """
     spark = prints.sparkSession
+    rows = prints.count() if rows is None else rows
     quarter = [F.struct(F.lit(q).alias("q"), F.shiftrightunsigned("fingerprint", 48 - 16 * q).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("v")) for q in range(4)]
     cells = prints.select("fingerprint", F.explode(F.array(*quarter)).alias("cell")).select("fingerprint", "cell.q", "cell.v")
     # The key begins with the cell's own quarter, so a cell is a sub-trie.
     turned = "shiftleft(fingerprint, 16 * q) | shiftrightunsigned(fingerprint, 64 - 16 * q)"
     cells = cells.withColumn("key", F.expr(f"if(q = 0, fingerprint, {turned})"))
-    large = cells.groupBy("q", "v").count().where(F.col("count") > CELL)
-    # A large cell is split by those of its bits that divide it most evenly.
+    # There are at most 4 * 2^16 cells, so what is known of large ones may be broadcast.
     ones = F.array(*(F.sum(F.shiftrightunsigned("key", p).bitwiseAND(F.lit(1))) for p in range(48)))
-    detail = cells.join(large, ["q", "v"]).groupBy("q", "v").agg(F.first("count").alias("count"), ones.alias("ones"))
-    even = F.expr("slice(transform(array_sort(transform(ones, (x, i) -> struct(abs(2 * x - count) as off, i as at))), x -> x.at), 1, "
-                  f"least(16, cast(ceil(log2(count / {CELL})) as int) + {SPLIT_BITS}))")
-    detail = detail.select("q", "v", even.alias("at"))
-    joined = cells.join(detail, ["q", "v"], "left").withColumn("bits", F.coalesce(F.size("at"), F.lit(0)))
-    joined = joined.withColumn("bits", F.greatest("bits", F.lit(0)))
-    # Its sub-tries meet those whose bits differ within the budget.
-    sub = F.expr("aggregate(at, 0, (x, p) -> x * 2 + cast(shiftrightunsigned(key, p) & 1 as int))")
-    joined = joined.withColumn("sub", F.when(F.col("bits") == 0, 0).otherwise(sub))
-    other = F.expr(f"filter(sequence(0, shiftleft(1, bits) - 1), x -> bit_count(x ^ sub) <= {BUDGET})")
-    small = joined.where("bits = 0").select("q", "v", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("sub"), "key")
-    split = joined.where("bits > 0").select("q", "v", "sub", "key", F.explode(other).alias("other"))
-    split = split.select("q", "v", F.least("sub", "other").alias("lo"), F.greatest("sub", "other").alias("hi"), "sub", "key")
-    work = small.unionByName(split)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell and sub-trie; each cell is joined as it ends."""
-        key, held = None, []
-
-        def done():
-            q = key[0]
-            keys = {s: np.sort(np.array([k for s_, k in held if s_ == s], np.int64).view(np.uint64)) for s in {s for s, _ in held}}
-            if key[2] == key[3]:
-                items = keys[key[2]]
-                forest = Forest(len(items))
-                trie_join(items, None, forest)
-            elif len(keys) < 2:
-                return None
-            else:
-                left, right = keys[key[2]], keys[key[3]]
-                items = np.concatenate([left, right])
-                forest = Forest(len(items))
-                trie_join(left, right, forest)
-            if not forest.links:
-                return None
-            ends = items[np.array(forest.links)]
-            back = ends if q == 0 else ends >> np.uint64(16 * q) | ends << np.uint64(64 - 16 * q)
-            a, b = back.view(np.int64).T
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["a", "b"])
-
-        for batch in batches:
-            for *cell, sub, value in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if cell != key:
-                    if key is not None and len(held) > 1 and (found := done()) is not None:
-                        yield found
-                    key, held = cell, []
-                held.append((sub, value))
-        if key is not None and len(held) > 1 and (found := done()) is not None:
-            yield found
-
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = work.repartition(parts, "q", "v", "lo", "hi").sortWithinPartitions("q", "v", "lo", "hi")
-    return dealt.mapInArrow(join, "a long, b long")
+    large = cells.groupBy("q", "v").agg(F.count("*").alias("count"), ones.alias("ones")).where(F.col("count") > CELL)
+    even = "transform(array_sort(transform(ones, (x, i) -> struct(abs(2 * x - count) as off, i as at))), x -> cast(x.at as tinyint))"
+    deep = F.expr(f"least({BLOCK_BITS}, cast(ceil(log2(count / {CELL})) as int) + {SPLIT_BITS})")
+    large = large.select("q", "v", F.expr(even).alias("at"), deep.alias("deep"))
+    large = large.select("q", "v", F.expr(f"slice(at, 1, {BLOCKS} * deep)").alias("at"))
+    joined = cells.join(F.broadcast(large), ["q", "v"], "left")
+    # Block b of a large cell has the bits at[b], at[b + BLOCKS], ...; a cell that isn't large has one block, 0.
+    part = f"aggregate(filter(at, (p, i) -> i % {BLOCKS} = b), 0L, (x, p) -> x * 2 + (shiftrightunsigned(key, cast(p as int)) & 1L))"
+    parts_of = f"if(at is null, array(0L), transform(sequence(0, {BLOCKS - 1}), b -> (b + 1) * {1 << BLOCK_BITS}L + {part}))"
+    own = f"(q * 65536L + v) * {(BLOCKS + 1) << BLOCK_BITS}L"
+    work = joined.select("key", F.expr(own).alias("own"), F.explode(F.expr(parts_of)).alias("part")).select((F.col("own") + F.col("part")).alias("cell"), "key")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * rows // TASK_ROWS))
+    return work.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_linked, "a long, b long")
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the cells of a task, whose rows (cell, key) come cell by cell."""
+    held: list[np.ndarray] = []
+    of = -1
+
+    def made(cells: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        ends = cell_links(cells, keys)
+        turn = (16 * (ends[0] // (65536 * ((BLOCKS + 1) << BLOCK_BITS)))).astype(np.uint64)
+        back = [np.where(turn == 0, e, e >> turn | e << (np.uint64(64) - np.maximum(turn, np.uint64(1)))).view(np.int64) for e in ends[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(e) for e in back], ["a", "b"])
+
+    for batch in batches:
+        cells, keys = batch.column("cell").to_numpy(), batch.column("key").to_numpy().view(np.uint64)
+        if not len(cells):
+            continue
+        first = int(np.searchsorted(cells, of, side="right")) if cells[0] == of else 0
+        held.append(keys[:first])
+        if first == len(cells):
+            continue
+        last = int(np.searchsorted(cells, cells[-1]))
+        whole = np.concatenate([*held, keys[first:last]])
+        if len(whole):
+            before = len(whole) - (last - first)
+            yield made(np.concatenate([np.full(before, of), cells[first:last]]), whole)
+        of, held = int(cells[-1]), [keys[last:]]
+    whole = np.concatenate([np.zeros(0, np.uint64), *held])
+    if len(whole) > 1:
+        yield made(np.full(len(whole), of), whole)
+
+
+def cell_links(cells: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, a, b): links within each run of equal cells, whose keys are distinct.
+
+    Runs that are one leaf of the join are compared all at once, others by their trie.
+    """
+    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(cells)])
+    leaf = sizes * sizes <= LEAVES
+    within = np.repeat(leaf, sizes)
+    found_a, found_b = [], []
+    for step in range(1, int(sizes[leaf].max(initial=1))):
+        at = np.flatnonzero(within[:-step] & (cells[step:] == cells[:-step]))
+        at = at[_bits(keys[at] ^ keys[at + step]) <= BUDGET]
+        found_a.append(at)
+        found_b.append(at + step)
+    for start, size in zip(starts[~leaf].tolist(), sizes[~leaf].tolist(), strict=True):
+        order = start + np.argsort(keys[start : start + size])
+        grown = Forest(size)
+        trie_join(keys[order], None, grown)
+        if grown.links:
+            ends = order[np.array(grown.links)]
+            found_a.append(ends[:, 0])
+            found_b.append(ends[:, 1])
+    a, b = (np.concatenate([np.zeros(0, np.int64), *f]) for f in (found_a, found_b))
+    return cells[a], keys[a], keys[b]
 
 
 def groups(links: DataFrame) -> DataFrame:
     """(node, group) of every node of the links (a, b): group is its component's least node.
 
-    Rounds of hooking to the least neighbour, by turns at the larger and the smaller
-    nodes, until the edges form stars. Each round is a pair of shuffled aggregations
-    over the edges that are left; each is written to the shared folder.
+    Nodes are of any type with an order. Rounds of hooking to the least neighbour, by
+    turns at the larger and the smaller nodes, until the edges form stars. Each round
+    is a pair of shuffled aggregations over the edges that are left; each is written to
+    the shared folder, and removed once the next is there. No round gathers a node's
+    neighbours: they are aggregated, and joined with one row a node, which adaptive
+    execution splits where a node has very many.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, "edges")
@@ -285,7 +322,8 @@ def groups(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        last, edges = edges, written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        discard(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if state == before:
             break
@@ -294,38 +332,87 @@ def groups(links: DataFrame) -> DataFrame:
     return pairs.union(edges.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct())
 
 
+#: Stands for a missing id; a fingerprint's node is its least id and itself, so that
+#: nodes of different fingerprints differ and a component's least node has its least id.
+_NO_ID = (1 << 63) - 1
+
+
+def print_groups(prints: DataFrame) -> tuple[DataFrame, int]:
+    """((fingerprint, n, least, head), rows): of every fingerprint its rows and its component.
+
+    ``least`` is the least id reachable, null if there is none; ``head`` the
+    fingerprint that stands for the component. Written to the shared folder.
+    """
+    ids = F.struct(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("least"), F.col("fingerprint").alias("of"))
+    each = written(prints.groupBy("fingerprint").agg(ids.alias("node"), F.count("*").alias("n")), "distinct")
+    size = each.agg(F.count("*").alias("prints"), F.sum("n").alias("rows")).head()
+    links = near_links(each, size["prints"])
+    for end in ("a", "b"):
+        links = links.join(each.select(F.col("fingerprint").alias(end), F.col("node").alias(f"{end}_node")), end)
+    found = groups(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    of = each.join(found.select("node", F.col("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    least = F.when(F.col("group.least") != _NO_ID, F.col("group.least"))
+    out = written(of.select("fingerprint", "n", least.alias("least"), F.col("group.of").alias("head")), "components")
+    discard(each)
+    return out, size["rows"] or 0
+
+
+def with_group(prints: DataFrame) -> DataFrame:
+    """The rows of ``prints`` with ``least`` and ``head`` of their fingerprint's component.
+
+    Fingerprints of more than a thousandth of the rows, which are fewer than a
+    thousand, are broadcast; rows of the others meet their component in a shuffle.
+    """
+    of, rows = print_groups(prints)
+    hot = F.broadcast(of.where(F.col("n") * HOT > rows).drop("n"))
+    cold = prints.join(F.broadcast(of.where(F.col("n") * HOT > rows).select("fingerprint")), "fingerprint", "left_anti")
+    return prints.join(hot, "fingerprint").unionByName(cold.join(of.where(F.col("n") * HOT <= rows).drop("n"), "fingerprint"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
     ``fingerprint`` as 16 hexadecimal digits; ``component_id`` is the least doc_id
     reachable over fingerprints that differ in at most 3 bits. Null and empty texts
-    have fingerprint 0, linked like any other; a row without an id links nothing and
-    has no component; repeated rows are kept; other columns take no part; an empty
-    table gives no row.
-
-    Links join the least ids of the fingerprints, so that a group's least node is
-    its component and no large group meets in a join.
+    have fingerprint 0, linked like any other; a row without an id links like any
+    other, and has no component where no row of its component has an id; repeated
+    rows are kept, and texts that share an id are linked by their fingerprints alone;
+    other columns take no part; an empty table gives no row.
     """
     prints = written(with_fingerprint(df, id_col, text_col), "prints")
-    each = written(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
-    links = near_links(each)
-    for end in ("a", "b"):
-        links = links.join(each.select(F.col("fingerprint").alias(end), F.col("least").alias(f"{end}_least")), end)
-    found = groups(links.select(F.col("a_least").alias("a"), F.col("b_least").alias("b")))
-    of = each.join(found, each["least"] == found["node"], "left")
-    of = written(of.select("fingerprint", F.coalesce("group", "least").alias("component_id")), "components")
-    out = prints.join(of, "fingerprint", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), component)
+    out = with_group(prints)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each near-duplicate group the row with the least id, with all its columns.
+    """One row of each near-duplicate group, with all its columns.
+
+    The row with the least id stays, of texts that share it the one with the least
+    hash, of rows that repeat both any one; rows without an id come last, and one
+    stays where a group has no other. Null and empty texts are one group; other
+    columns go along, whatever their names; an empty table gives an empty one.
 
-    Of rows that repeat that id one stays. Rows without an id can't be named and are
-    kept.
+    Rows are chosen by id, text hash and length; the texts themselves cross one
+    shuffle, of a semi-join with what was chosen.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    least = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(least, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    text = F.col(f"`{text_col}`").cast("string")
+    key = {"_id": F.col(f"`{id_col}`").cast("long"), "_hash": F.xxhash64(text), "_size": F.length(text)}
+    prints = written(with_fingerprint(docs, id_col, text_col, hashed=True), "prints")
+    named = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("size").alias("_size"))
+    # Rows alike are one before they meet in their group; no task gets a group's rows.
+    alike = with_group(prints).groupBy("head", named.alias("row")).agg(F.count("*").alias("rows"))
+    chosen = alike.groupBy("head").agg(F.min(F.struct("row", "rows")).alias("c"))
+    chosen = written(chosen.select("c.row._id", "c.row._hash", "c.row._size", (F.col("c.rows") > 1).alias("again")), "chosen")
+    discard(prints)
+    taken = [f"_kantele{name}" for name in key]
+    rows = docs.select("*", *(of.alias(f"_kantele{name}") for name, of in key.items()))
+
+    def of(some: DataFrame) -> DataFrame:
+        some = some.select(*(F.col(name).alias(f"c{name}") for name in key))
+        same = [rows[f"_kantele{name}"].eqNullSafe(some[f"c{name}"]) for name in key]
+        return rows.join(some, same, "left_semi")
+
+    out = of(chosen.where("not again"))
+    if not chosen.where("again").isEmpty():
+        out = out.unionByName(of(chosen.where("again")).dropDuplicates(taken))
+    return out.drop(*taken)

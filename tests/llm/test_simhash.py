@@ -80,6 +80,58 @@ def test_links_and_groups(spark, monkeypatch):
         assert len({min(x) for x in classes.values()}) == len(classes)
 
 
+def test_cell_links():
+    """Runs of cells, small and large, against all their pairs."""
+    draw = random.Random(9)
+    cells, keys = [], []
+    for cell, n in enumerate([1, 2, 8, 9, 1, 300, 3, 40]):
+        some = clustered(draw, n, 6)
+        cells += [cell] * len(some)
+        keys += draw.sample(some, len(some))
+    cells, keys = np.array(cells), np.array(keys, np.uint64)
+    of, a, b = simhash.cell_links(cells, keys)
+    assert (np.bitwise_count(a ^ b) <= 3).all()
+    for cell in set(cells.tolist()):
+        own = sorted(keys[cells == cell].tolist())
+        forest = simhash.Forest(len(own))
+        for x, y in zip(a[of == cell].tolist(), b[of == cell].tolist(), strict=True):
+            forest.link(own.index(x), own.index(y))
+        assert [forest.root(i) for i in range(len(own))] == components(own)
+    # The same rows in batches that cut runs anywhere.
+    whole = pa.RecordBatch.from_arrays([pa.array(cells), pa.array(keys.view(np.int64))], ["cell", "key"])
+    expected = {tuple(sorted(p)) for p in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True)}
+    for size in (1, 7, 64, 1000):
+        out = list(simhash._linked(iter([whole.slice(i, size) for i in range(0, len(cells), size)])))
+        found = {tuple(sorted(p)) for x in out for p in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)}
+        assert found == expected
+
+
+def test_keep_one_loses_no_text(spark):
+    """Texts that share an id, repeated rows and rows without an id."""
+    rows = [
+        (5, "alpha beta gamma", 1), (5, "delta eps zeta", 2), (9, "delta eps zeta", 3), (9, "delta eps zeta", 3), (9, "delta eps zeta", 4),
+        (None, "alpha beta gamma", 5), (None, "eta theta iota", 6), (None, "eta theta iota", 6), (7, None, 7), (8, "", 8), (6, "kappa", 9),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint int").repartition(3)
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    found = out.collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in found) == [(0, "eta theta iota"), (5, "alpha beta gamma"), (5, "delta eps zeta"), (6, "kappa"), (7, "")]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+    many = spark.range(2000).selectExpr("id as doc_id", "'same words here' as text").union(spark.range(50).selectExpr("id + 5000", "concat('t', id, ' u', id)"))
+    kept = simhash.keep_one(many).collect()
+    assert len([r for r in kept if r.doc_id < 5000]) == 1 and min(r.doc_id for r in kept) == 0
+
+
+def test_ids_shared_by_texts_link_nothing(spark):
+    """Components go by fingerprints, not by an id that two texts share."""
+    words = ["one two three", "four five six", "seven eight nine"]
+    df = spark.createDataFrame([(4, words[0]), (4, words[1]), (2, words[1]), (3, words[2]), (None, words[2]), (None, "ten")], "doc_id long, text string")
+    found = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(df).collect()}
+    prints = [f"{brute(x):016x}" for x in [*words, "ten"]]
+    assert found == {(4, prints[0]): 4, (4, prints[1]): 2, (2, prints[1]): 2, (3, prints[2]): 3, (None, prints[2]): 3, (None, prints[3]): None}
+
+
 def test_groups_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 90), (90, 95), (95, 95)] + [(200, 200 + i) for i in range(1, 50)]
     found = {r.node: r.group for r in simhash.groups(spark.createDataFrame(edges, "a long, b long")).collect()}
