@@ -5,102 +5,125 @@ n components with means m, m' and deviations s, s' the inner product is at most
 n (m m' + s s'), so that the sum over segments bounds it from above; in terms of
 distance, it bounds the distance from below. Per query, candidates whose bound lies
 below the k-th best score so far are dropped level by level; survivors are scored
-exactly, in integers.
+exactly, in integers. The first k-th best score of a query comes from the exact
+scores of a block of candidates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, written
+from .common import columns, discard, written
 
 #: Segments at each level.
-LEVELS = (1, 4, 16)
-#: Queries and candidates of a block (about), candidate blocks of a task, pairs at once.
-QUERIES, ROWS, SHARE, PAIRS = 512, 4096, 8, 1 << 18
+LEVELS = (4, 16, 32)
+#: Rows of a candidate block and queries of a block (about), queries taken at once.
+ROWS, QUERIES, STEP = 4096, 32768, 512
+#: Candidate blocks that pass a query block in one task at most.
+SHARE = 64
+#: Above this share of surviving pairs a block's next products are one matrix product.
+DENSE = 0.02
 #: Relative slack of the bounds for rounding.
 SLACK = 1e-9
+#: Integer products up to here are exact in doubles.
+EXACT = 2.0**53
 
-
-def integers(column: pa.Array, scale: float) -> tuple[list[int], list[np.ndarray]]:
-    """(row numbers, floor(scale x)) of the vectors that take part.
-
-    Vectors null, empty, or holding null or a component that isn't finite take no part.
-    """
-    rows, found = [], []
-    for i, x in enumerate(column.to_pylist()):
-        if x and None not in x:
-            v = np.array(x, np.float64)
-            if np.isfinite(v).all():
-                rows.append(i)
-                found.append(np.floor(scale * v).astype(np.int64))
-    return rows, found
+BLOCK = "block long, width int, ids binary, times binary, data binary, floor binary"
 
 
-class Segments:
-    """Means and deviations of the rows of a matrix at every level.
+@dataclass
+class Matrix:
+    """Vectors of one length: ids, how often each row stands in the table (k at most), integers."""
 
-    Rows are zero-filled to a multiple of the finest segment count, which changes no
-    inner product.
-    """
+    ids: np.ndarray
+    times: np.ndarray
+    x: np.ndarray
 
-    def __init__(self, x: np.ndarray):
-        fill = -x.shape[1] % LEVELS[-1]
-        x = np.pad(x, ((0, 0), (0, fill))) if fill else x
-        self.features = []
+    def __post_init__(self):
+        self.real = self.x.astype(np.float64)
+        self.norm = float(np.abs(self.real).max(initial=0.0))
+        fill = -self.x.shape[1] % LEVELS[-1]
+        padded = np.pad(self.real, ((0, 0), (0, fill))) if fill else self.real
+        #: Means and deviations of every segment; zero-filling changes no inner product.
+        self.segments = []
         for level in LEVELS:
-            parts = x.reshape(len(x), level, -1)
+            parts = padded.reshape(len(padded), level, -1)
             root = np.sqrt(parts.shape[2])
-            self.features.append(np.concatenate([root * parts.mean(axis=2), root * parts.std(axis=2)], axis=1))
+            self.segments.append(np.concatenate([root * parts.mean(axis=2), root * parts.std(axis=2)], axis=1))
+
+    def part(self, some: slice) -> Matrix:
+        found = object.__new__(Matrix)
+        found.ids, found.times, found.x, found.real, found.norm = self.ids[some], self.times[some], self.x[some], self.real[some], self.norm
+        found.segments = [s[some] for s in self.segments]
+        return found
+
+
+def loosened(bound: np.ndarray) -> np.ndarray:
+    return bound + SLACK * (1 + np.abs(bound)) + 1e-6
+
+
+def exact_all(a: Matrix, b: Matrix) -> np.ndarray:
+    """All inner products, as integers."""
+    if a.norm * b.norm * a.x.shape[1] < EXACT:
+        return (a.real @ b.real.T).astype(np.int64)
+    return a.x @ b.x.T
+
+
+class Survivors:
+    """Pairs that are left, as a mask while they are many and as a list when they are few."""
+
+    def __init__(self, mask: np.ndarray):
+        self.shape, self.mask, self.rows, self.at = mask.shape, mask, None, None
+        self.settle()
+
+    def settle(self) -> None:
+        if self.mask is not None and np.count_nonzero(self.mask) <= DENSE * self.mask.size:
+            (self.rows, self.at), self.mask = np.nonzero(self.mask), None
+
+    def __len__(self) -> int:
+        return int(np.count_nonzero(self.mask)) if self.rows is None else len(self.rows)
 
-    def bounds(self, level: int, other: Segments, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Upper bounds of inner products: all pairs, or (own row, other row) pairs."""
-        a, b = self.features[level], other.features[level]
-        if pairs is None:
-            out = a @ b.T
+    def drop_below(self, a: np.ndarray, b: np.ndarray, floor: np.ndarray) -> None:
+        """Drops pairs whose bound, a product of rows of a and b, lies below the query's floor."""
+        if self.rows is None:
+            self.mask &= loosened(a @ b.T) >= floor[:, None]
+            self.settle()
         else:
-            out = np.einsum("ij,ij->i", a[pairs[0]], b[pairs[1]])
-        return out + SLACK * (1 + np.abs(out)) + 1e-6
+            kept = loosened(np.einsum("ij,ij->i", a[self.rows], b[self.at])) >= floor[self.rows]
+            self.rows, self.at = self.rows[kept], self.at[kept]
 
+    def scores(self, queries: Matrix, found: Matrix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, candidate row, exact score)."""
+        if self.rows is None:
+            every = exact_all(queries, found)
+            rows, at = np.nonzero(self.mask)
+            return rows, at, every[rows, at]
+        return self.rows, self.at, np.einsum("ij,ij->i", queries.x[self.rows], found.x[self.at])
 
-def search(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each query's k best rows of x, ties to the smaller id.
 
-    Matrices hold integers. A row with the query's own id is no candidate. ``floor``
-    has, for each query, a score that k other candidates reach already: rows below
-    it are left out.
+def search(queries: Matrix, found: Matrix, k: int, floor: np.ndarray, left: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of each query's k best rows, ties to the smaller id.
+
+    A row with the query's own id is no candidate. ``floor`` has, for each query, a
+    score that k other candidates reach: rows below it are left out. ``left`` is
+    given the pairs left after each level.
     """
-    n, m = len(queries), len(x)
-    none = np.zeros(0, np.int64)
-    if not n or not m:
-        return none, none, none
-    qs, xs = Segments(queries.astype(float)), Segments(x.astype(float))
-    best = np.full(n, -np.inf) if floor is None else floor.astype(float)
-    coarse = qs.bounds(0, xs)
-    own = query_ids[:, None] == ids[None, :]
-    coarse[own] = -np.inf
-    # The k candidates with the best coarse bounds give a first k-th best score.
-    if m > k:
-        first = np.argpartition(-coarse, k - 1, axis=1)[:, :k]
-        exact = np.einsum("ij,ikj->ik", queries, x[first]).astype(float)
-        exact[np.take_along_axis(own, first, axis=1)] = -np.inf
-        best = np.maximum(best, exact.min(axis=1))
-    rows, at = np.nonzero((coarse >= best[:, None]) & ~own)
-
-    def steps():
-        return (slice(i, i + PAIRS) for i in range(0, len(rows), PAIRS))
-
-    for level in range(1, len(LEVELS)):
-        kept = [qs.bounds(level, xs, (rows[i], at[i])) >= best[rows[i]] for i in steps()]
-        kept = np.concatenate(kept) if kept else np.zeros(0, bool)
-        rows, at = rows[kept], at[kept]
-    scores = [np.einsum("ij,ij->i", queries[rows[i]], x[at[i]]) for i in steps()]
-    return best_k(rows, ids[at], np.concatenate(scores) if scores else none, k)
+    pairs = Survivors(queries.ids[:, None] != found.ids[None, :])
+    for a, b in zip(queries.segments, found.segments, strict=True):
+        pairs.drop_below(a, b, floor)
+        if left is not None:
+            left.append(len(pairs))
+    rows, at, scores = pairs.scores(queries, found)
+    high = scores >= floor[rows]
+    rows, at, scores = rows[high], at[high], scores[high]
+    times = np.minimum(queries.times[rows] * found.times[at], k)
+    return best_k(*(np.repeat(v, times) for v in (rows, found.ids[at], scores)), k)
 
 
 def best_k(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,21 +136,51 @@ def best_k(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tup
     return rows[kept], ids[kept], scores[kept]
 
 
-def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """search() over blocks of queries and of rows, the k-th best carried from block to block."""
-    out = []
-    for q in range(0, len(queries), QUERIES):
-        some = slice(q, q + QUERIES)
-        rows, found, scores = (np.zeros(0, np.int64) for _ in range(3))
-        floor = np.full(len(queries[some]), -np.inf)
-        for i in range(0, len(x), ROWS):
-            new = search(query_ids[some], queries[some], ids[i : i + ROWS], x[i : i + ROWS], k, floor)
-            rows, found, scores = best_k(*(np.concatenate(v) for v in zip((rows, found, scores), new, strict=True)), k)
-            counts = np.bincount(rows, minlength=len(floor))
-            full = counts == k
-            floor[full] = scores[np.cumsum(counts)[full] - 1]
-        out.append((rows + q, found, scores))
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(3))
+def kth(rows: np.ndarray, scores: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
+    """The floors, raised to the k-th of the rows that have k scores, in order."""
+    counts = np.bincount(rows, minlength=len(floor))
+    full = counts == k
+    out = floor.copy()
+    out[full] = np.maximum(out[full], scores[np.cumsum(counts)[full] - 1])
+    return out
+
+
+class Search:
+    """A block of queries that candidate blocks pass one after the other."""
+
+    def __init__(self, queries: Matrix, k: int, floor: np.ndarray | None = None):
+        self.queries, self.k = queries, k
+        self.floor = np.full(len(queries.ids), -np.inf) if floor is None else floor.copy()
+        self.best = [tuple(np.zeros(0, np.int64) for _ in range(3)) for _ in range(0, len(queries.ids), STEP)]
+
+    def meet(self, found: Matrix, left: list[list[int]] | None = None) -> None:
+        for i, best in enumerate(self.best):
+            some = slice(i * STEP, (i + 1) * STEP)
+            count: list[int] = []
+            new = search(self.queries.part(some), found, self.k, self.floor[some], count)
+            self.best[i] = best_k(*(np.concatenate(v) for v in zip(best, new, strict=True)), self.k)
+            self.floor[some] = kth(self.best[i][0], self.best[i][2], self.k, self.floor[some])
+            if left is not None:
+                left.append(count)
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, score)"""
+        found = [(rows + i * STEP, ids, scores) for i, (rows, ids, scores) in enumerate(self.best)]
+        rows, ids, scores = (np.concatenate([np.zeros(0, np.int64), *v]) for v in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+        return self.queries.ids[rows], ids, scores
+
+
+def unpacked(width: int, ids: bytes, times: bytes, data: bytes) -> Matrix:
+    return Matrix(np.frombuffer(ids, "<i8"), np.frombuffer(times, "<i8"), np.frombuffer(data, "<i8").reshape(-1, width))
+
+
+def whole_vectors(df: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, x): floor(scale * component) of the rows that take part."""
+    rows = columns(df, vec_id=id_col, vector=vector_col).where("vec_id is not null")
+    rows = rows.withColumn("vector", F.col("vector").cast("array<double>")).where("size(vector) > 0")
+    # No comparison with a null or a NaN holds.
+    rows = rows.where("forall(vector, c -> c is not null and not isnan(c) and abs(c) <= 1.7976931348623157E308D)")
+    return rows.select("vec_id", F.transform("vector", lambda c: F.floor(F.lit(float(scale)) * c).cast("long")).alias("x"))
 
 
 def top_k(
@@ -144,57 +197,82 @@ def top_k(
     take part, and the rows of a query's id share its k places; else of those of one
     length the least vector alone takes part.
 
-    Rows are dealt to blocks by a hash of their id, with ``repeats`` also of their vector. Every query block meets the
-    candidate blocks in tasks of SHARE blocks, each of which sends on k rows a query:
-    what a task holds doesn't grow with the input.
+    Equal rows are one with a count before anything meets. Rows are dealt to blocks
+    by a hash of their id and vector. Blocks of QUERIES queries are held by tasks
+    past which candidate blocks stream, each read once for a query block; a task
+    sends on k rows a query. What it holds doesn't grow with the input.
     """
     spark = df.sparkSession
-    rows = columns(df, vec_id=id_col, embedding=vector_col).where("vec_id is not null")
-    rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows = whole_vectors(df, scale, id_col, vector_col)
+    if repeats:
+        rows = rows.groupBy("vec_id", "x").agg(F.least(F.count("*"), F.lit(k)).cast("long").alias("times"))
+    else:
+        rows = rows.groupBy("vec_id", F.size("x").alias("width")).agg(F.min("x").alias("x")).select("vec_id", "x", F.lit(1).cast("long").alias("times"))
+    rows = written(rows, "vectors")
     chosen = rows.where(is_query)
     n_rows, n_queries = rows.count(), chosen.count()
     blocks, query_blocks = max(1, -(-n_rows // ROWS)), max(1, -(-n_queries // QUERIES))
-    shares = -(-blocks // SHARE)
-
-    def pack(key: tuple, found: pa.Table) -> pa.Table:
-        """One row for each vector length in the block."""
-        at, vectors = integers(found.column("embedding").combine_chunks(), scale)
-        ids = found.column("vec_id").to_numpy()
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for i, x in sorted(zip(ids[at].tolist(), vectors, strict=True), key=lambda v: (v[0], v[1].tolist())):
-            same = held.setdefault(len(x), [])
-            if repeats or not same or same[-1][0] != i:
-                same.append((i, x))
-        out = [(key[0].as_py(), width, *(np.array(list(c), "<i8").tobytes() for c in zip(*v, strict=True))) for width, v in sorted(held.items())]
-        kinds = {"block": pa.int64(), "width": pa.int32(), "ids": pa.binary(), "data": pa.binary()}
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds.items())})
-
-    def packed(of: DataFrame, n: int) -> DataFrame:
-        number = F.pmod(F.xxhash64("vec_id", *(["embedding"] if repeats else [])), F.lit(n))
-        return of.withColumn("block", number).groupBy("block").applyInArrow(pack, "block long, width int, ids binary, data binary")
-
-    # Without repeats, a repeated id's vectors meet in one block, of either side.
+    together = max(1, 2 * spark.sparkContext.defaultParallelism // query_blocks)
+    shares = min(blocks, max(-(-blocks // SHARE), together))
+
+    def packed(of: DataFrame, n: int, floors=None) -> DataFrame:
+        """A row for each block and vector length."""
+
+        def pack(key: tuple, found: pa.Table) -> pa.Table:
+            width = key[1].as_py()
+            found = found.combine_chunks().sort_by([("vec_id", "ascending")])
+            ids, times = (found.column(name).to_numpy().astype("<i8") for name in ("vec_id", "times"))
+            data = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in found.column("x").chunks]).astype("<i8")
+            floor = np.full(len(ids), -np.inf) if floors is None else floors(unpacked(width, ids.tobytes(), times.tobytes(), data.tobytes()))
+            values = [key[0].as_py(), width, ids.tobytes(), times.tobytes(), data.tobytes(), floor.astype("<f8").tobytes()]
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            return pa.table({c.split()[0]: pa.array([v], t) for c, v, t in zip(BLOCK.split(", "), values, kinds, strict=True)})
+
+        numbered = of.select("*", F.pmod(F.xxhash64("vec_id", "x"), F.lit(n)).alias("block"), F.size("x").alias("width"))
+        return numbered.groupBy("block", "width").applyInArrow(pack, BLOCK)
+
     candidates = written(packed(rows, blocks), "candidates")
-    queries = written(packed(chosen, query_blocks), "queries")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>"))
-    right = candidates.select(F.pmod("block", F.lit(shares)).alias("share"), "width", "ids", "data", spread.alias("query"))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<long>"))
-    left = queries.select(F.col("block").alias("query"), "width", "ids", "data", spread.alias("share"))
-
-    def matrix(found: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.frombuffer(b"".join(found.column("ids").to_pylist()), "<i8")
-        return ids, np.frombuffer(b"".join(found.column("data").to_pylist()), "<i8").reshape(-1, width)
-
-    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
-        width = key[2].as_py()
-        query_ids, vectors = matrix(left, width)
-        at, found, scores = search_blocks(query_ids, vectors, *matrix(right, width), k)
-        return pa.table({"query_id": pa.array(query_ids[at]), "vec_id": pa.array(found), "score": pa.array(scores)})
-
-    keys = ("query", "share", "width")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
+    # One block of candidates, a sample by hash, comes to the driver: about ROWS vectors.
+    sample = [unpacked(r["width"], *(bytes(r[c]) for c in ("ids", "times", "data"))) for r in candidates.where("block = 0").collect()]
+
+    def floors(queries: Matrix) -> np.ndarray:
+        run = Search(queries, k)
+        for found in sample:
+            if found.x.shape[1] == queries.x.shape[1]:
+                run.meet(found)
+        return run.floor
+
+    queries = written(packed(chosen, query_blocks, floors), "queries")
+    discard(rows)
+    every = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")).alias("query")
+    right = candidates.select(F.lit(1).alias("side"), "*", F.pmod("block", F.lit(shares)).alias("share"), every)
+    every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<long>")).alias("share")
+    left = queries.select(F.lit(0).alias("side"), "*", every, F.col("block").alias("query"))
+    both = left.unionByName(right).withColumn("slot", (F.col("query") * shares + F.col("share")).cast("int"))
+    dealt = both.repartitionById(query_blocks * shares, F.col("slot")).sortWithinPartitions("slot", "width", "side", "block")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by slot and length, the queries before the candidates."""
+        key, run = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in run.result()], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for slot, width, side, *found, floor in zip(*(batch.column(c) for c in ("slot", "width", "side", "ids", "times", "data", "floor")), strict=True):
+                now = (slot.as_py(), width.as_py())
+                if now != key:
+                    if run is not None:
+                        yield done()
+                    key, run = now, None
+                if side.as_py() == 0:
+                    run = Search(unpacked(now[1], *(v.as_py() for v in found)), k, np.frombuffer(floor.as_py(), "<f8"))
+                elif run is not None:
+                    run.meet(unpacked(now[1], *(v.as_py() for v in found)))
+        if run is not None:
+            yield done()
+
+    found = dealt.select("slot", "width", "side", "ids", "times", "data", "floor").mapInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

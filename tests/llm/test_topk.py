@@ -23,21 +23,57 @@ def brute(rows, is_query, k=5):
     return out
 
 
+def matrix(x, ids=None):
+    x = np.asarray(x)
+    return topk.Matrix(np.arange(len(x)) if ids is None else np.asarray(ids), np.ones(len(x), np.int64), x.astype(np.int64))
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     a, b = (np.floor(256 * rng.normal(size=(60, 50))) for _ in range(2))
-    left, right, exact = topk.Segments(a), topk.Segments(b), a @ b.T
+    left, right, exact = matrix(a), matrix(b), a @ b.T
     last = None
-    for level in range(len(topk.LEVELS)):
-        bound = left.bounds(level, right)
+    for p, q in zip(left.segments, right.segments, strict=True):
+        bound = topk.loosened(p @ q.T)
         assert (bound >= exact).all()
         assert last is None or bound.mean() < last
         last = bound.mean()
+    big = matrix(np.full((2, 4), 1 << 30))
+    assert (topk.exact_all(big, big) == 4 << 60).all()
+
+
+def survivors(x, queries, k=5):
+    """Shares of pairs left after each level, over blocks of candidates."""
+    rng = np.random.default_rng(2)
+    order = rng.permutation(len(x))
+    run = topk.Search(matrix(x[queries], queries), k)
+    run.meet(matrix(x[order[:4096]], order[:4096]))
+    run.best = [tuple(np.zeros(0, np.int64) for _ in range(3)) for _ in run.best]  # only its floors are kept
+    left = []
+    for i in range(0, len(x), 4096):
+        run.meet(matrix(x[order[i : i + 4096]], order[i : i + 4096]), left)
+    return np.sum(left, axis=0) / (len(x) * len(queries)), run
+
+
+def test_most_pairs_of_clustered_vectors_are_dropped():
+    """Vectors that vary smoothly within segments, in clusters: what the bounds are for."""
+    rng = np.random.default_rng(1)
+    centres = np.repeat(rng.normal(size=(200, 16)), 4, axis=1)
+    x = np.floor(256 * (centres[rng.integers(200, size=12000)] + 0.05 * rng.normal(size=(12000, 64))))
+    queries = np.arange(0, 12000, 60)
+    share, run = survivors(x, queries)
+    assert (np.diff(share) <= 0).all() and share[1] < 0.05 and share[-1] < 0.02
+    ids, found, scores = run.result()
+    exact = (x[queries] @ x.T).astype(np.int64)
+    exact[np.arange(len(queries)), queries] = -(1 << 62)
+    for i, q in enumerate(queries):
+        best = np.lexsort((np.arange(len(x)), -exact[i]))[:5]
+        assert found[ids == q].tolist() == best.tolist() and scores[ids == q].tolist() == exact[i, best].tolist()
 
 
-@pytest.mark.parametrize("blocks", [(512, 4096, 8), (3, 16, 2)])
+@pytest.mark.parametrize("blocks", [(32768, 4096, 64, 512), (3, 16, 2, 2)])
 def test_top_k(spark, monkeypatch, blocks):
-    for name, value in zip(("QUERIES", "ROWS", "SHARE"), blocks, strict=True):
+    for name, value in zip(("QUERIES", "ROWS", "SHARE", "STEP"), blocks, strict=True):
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=7).round(1).tolist()) for i in range(150)]
@@ -64,7 +100,7 @@ def test_repeated_ids_equal_sql(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 16)
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(90)]
-    rows += [(i, (3 * rng.normal(size=6)).round(1).tolist()) for i in (0, 0, 7, 7, 50, 61)] + [rows[50], rows[7]]
+    rows += [(i, (3 * rng.normal(size=6)).round(1).tolist()) for i in (0, 0, 7, 7, 50, 61)] + [rows[50], rows[7]] + [rows[11]] * 9
     path = f"{tmp_path}/embeddings.parquet"
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(path)
     con = duckdb.connect()
