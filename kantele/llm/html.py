@@ -9,11 +9,14 @@ no table has labels for pages.
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -56,20 +59,82 @@ HINTS = {
     "comment": "comment comments reply replies respond disqus discussion feedback",
 }
 HINT = {word: i for i, words in enumerate(HINTS.values()) for word in words.split()}
-EXTRA = ["links", "hidden", "chars_log", "short", "sentence", "sign", "link_all", "plain_list"]
+EXTRA = ["links", "hidden", "chars_log", "short", "sentence", "sign", "link_all", "plain_list", "marked_text"]
 #: Kinds of parent and child that share a potential: an element in the root, in a
 #: container or elsewhere, and a text.
 PAIRS = 4
 N_FEATURES = 1 + len(NODE_KINDS) + len(HINTS) + len(EXTRA)
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Attributes up to the end of a tag, whose quoted values may hold the sign that ends it.
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-content)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+@lru_cache(1 << 14)
+def hint_of(part: str) -> int | None:
+    """The hint of a word, or of the longest fixed word of five letters or more that begins or ends it."""
+    if part in HINT or len(part) > 40:
+        return HINT.get(part)
+    found = [word for word in HINT if len(word) >= 5 and (part.startswith(word) or part.endswith(word))]
+    return HINT[max(found, key=len)] if found else None
+
+
+class Scanner:
+    """Tags of a page from left to right, in time linear in its length.
+
+    A search that found no end of a tag, or no closing tag of a name, finds none
+    further on either and isn't made again: after a tag whose quotes don't close,
+    quotes no longer hide the sign that ends a tag.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.quotes = True
+        self.unclosed: set[str] = set()
+
+    def end_of(self, start: int) -> int:
+        """Behind the tag whose name ends at ``start``; -1 if it doesn't end."""
+        if self.quotes:
+            if found := QUOTED.match(self.html, start):
+                return found.end()
+            self.quotes = False
+        return self.html.find(">", start) + 1 or -1
+
+    def tags(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the first tag or comment from ``at`` on.
+
+        A comment, declaration or instruction has no name.
+        """
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, (end + 3 if end >= 0 else len(html)), False, "", ""
+            closing = html.startswith("/", start + 1)
+            name = NAME.match(html, start + 1 + closing)
+            if name or html.startswith(("<!", "<?"), start):
+                end = self.end_of(name.end()) if name else html.find(">", start) + 1 or -1
+                if end < 0:
+                    # No tag ends from here on.
+                    return None
+                return start, end, closing, name.group().lower() if name else "", html[name.end() : end - 1] if name else ""
+            at = start + 1
+        return None
+
+    def closed(self, name: str, at: int) -> int:
+        """Behind the closing tag of that name; -1 if there is none."""
+        if name not in self.unclosed:
+            found = re.compile(f"</{re.escape(name)}", re.I).search(self.html, at)
+            end = self.html.find(">", found.end()) + 1 if found else 0
+            if end:
+                return end
+            self.unclosed.add(name)
+        return -1
+
+
 @dataclass
 class Page:
     """Nodes of a page in document order; text nodes have a text."""
@@ -90,6 +155,7 @@ def parse(html: str, labelled: bool = True) -> Page:
     """
     page = Page([-1], [NUMBER["root"]], [0], [None], [0], [0], [0])
     stack: list[tuple[str, int]] = [("", 0)]  # name, node; inline elements share their block's node
+    open_of: Counter[str] = Counter()  # open elements of each name
     run: list[str] = []
     linked = 0
     link_depth = 0
@@ -115,31 +181,32 @@ def parse(html: str, labelled: bool = True) -> Page:
         flush()
         for name, _ in stack[to:]:
             link_depth -= name == "a"
+            open_of[name] -= 1
         del stack[to:]
 
+    scanner = Scanner(html)
     at, end = 0, len(html)
     while at < end:
-        token = TOKEN.search(html, at)
-        start = token.start() if token else end
+        tag = scanner.tags(at)
+        start = tag[0] if tag else end
         if start > at:
             piece = html[at:start]
             piece = unescape(piece) if "&" in piece else piece
             run.append(piece)
             if link_depth > 0:
                 linked += len(piece.strip())
-        if token is None:
+        if tag is None:
             break
-        at = token.end()
-        closing, name, rest = token.group(1, 2, 3) if token.group(2) else token.group(4, 5, 6)
+        _, at, closing, name, rest = tag
         if not name:
             continue
-        name = name.lower()
         if closing:
             inline = name in INLINE
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if open_of[name] else 0, 0, -1):
                 if stack[i][0] == name:
                     if inline:
                         link_depth -= name == "a"
+                        open_of[name] -= 1
                         del stack[i]
                     else:
                         pop(i)
@@ -151,9 +218,9 @@ def parse(html: str, labelled: bool = True) -> Page:
                     flush()
             continue
         if name in RAW and not rest.endswith("/"):
-            close = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(html, at)
-            if close or name in ("script", "style"):
-                at = close.end() if close else end
+            close = scanner.closed(name, at)
+            if close >= 0 or name in ("script", "style"):
+                at = close if close >= 0 else end
                 continue
         if name == "br":
             run.append(" ")
@@ -164,11 +231,13 @@ def parse(html: str, labelled: bool = True) -> Page:
             continue
         if name in INLINE:
             stack.append((name, stack[-1][1]))
+            open_of[name] += 1
             link_depth += name == "a"
             continue
         # A block ends an open paragraph; items and cells end their like.
         closed, within = CLOSES.get(name, ((), ()))
-        for i in range(0 if name in EMBEDDED else len(stack) - 1, 0, -1):
+        ends_some = name not in EMBEDDED and (open_of["p"] or any(open_of[c] for c in closed))
+        for i in range(len(stack) - 1 if ends_some else 0, 0, -1):
             if stack[i][0] in closed or stack[i][0] == "p":
                 pop(i)
                 break
@@ -185,7 +254,7 @@ def parse(html: str, labelled: bool = True) -> Page:
                         label = int(value)
                     continue
                 for part in PART.findall(value):
-                    hint = HINT.get(part.lower())
+                    hint = hint_of(part.lower())
                     if hint is not None:
                         hints |= 1 << hint
             if HIDDEN.search(rest):
@@ -197,9 +266,9 @@ def parse(html: str, labelled: bool = True) -> Page:
         page.chars.append(0)
         page.linked.append(0)
         page.label.append(label)
-        stack.append((name, len(page.parent) - 1))
-        if rest.endswith("/") and name not in ("p", "div"):
-            stack.pop()
+        if not (rest.endswith("/") and name not in ("p", "div")):
+            stack.append((name, len(page.parent) - 1))
+            open_of[name] += 1
     pop(1)
     flush()
     return page
@@ -253,8 +322,9 @@ def forest(pages: list[Page]) -> Forest:
     ends = np.array([bool(t) and t[-1] in ".!?…:;\"'”»" for t in found])
     sign = np.array([bool(t) and ("©" in t or "(c)" in t.lower()) for t in found])
     for i, column in enumerate(
-        (share, hints >> len(HINTS) & 1, np.log1p(all_chars) / 6, is_text & (chars < 25), is_text & ends, sign, (share > 0.9) & (all_chars > 0), ((kind == NUMBER["list"]) | (kind == NUMBER["item"])) & (share < 0.3))
-    ):
+        (share, hints >> len(HINTS) & 1, np.log1p(all_chars) / 6, is_text & (chars < 25), is_text & ends, sign, (share > 0.9) & (all_chars > 0), ((kind == NUMBER["list"]) | (kind == NUMBER["item"])) & (share < 0.3),
+         ((kind == NUMBER["paragraph"]) | (kind == NUMBER["heading"])) & (hints & (1 << len(HINTS)) - 1 > 0))
+    ):
         x[:, at + i] = column
     above = kind[np.maximum(parent, 0)]
     pair = np.where(is_text, 3, np.where(above == NUMBER["root"], 0, np.where(above == NUMBER["container"], 1, 2)))
@@ -354,6 +424,9 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[str]:
             inner += f' <a href="/x">{words(1, 4)}</a> {sentence()}'
         if chance(0.15):
             inner = f"<b>{words(1, 3)}</b> {inner}<br>{sentence()}"
+        if chance(0.06):
+            # Names on single paragraphs say little.
+            return f'<p class="{one("lead", "more", "read-more", "story", "text", "share-text", "popular", "side-note")}">{inner}</p>'
         return one(f"<p>{inner}</p>", f"<p>{inner}</p>", f"<p>{inner}", f"<p><b>{inner}<br>")
 
     def links(low: int = 2, high: int = 9) -> str:
@@ -446,7 +519,41 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[str]:
             return f'<div {one("class", "id")}="{one("content", "post", "article-body", "entry", "main-content", "story", "text")}" data-content="1">{inner}</div>'
         return f'<div data-content="1">{inner}</div>'
 
+    def link_row() -> str:
+        return one(" ", " | ", " &middot; ").join(f'<a href="/{i}">{words(1, 3)}</a>' for i in range(int(draw.integers(2, 7))))
+
+    def closing_line() -> str:
+        return one(f"&copy; {words(1, 4)}", f"(c) 19{int(draw.integers(90, 99))} {words(1, 3)}", f"Copyright {int(draw.integers(1995, 2020))} {words(1, 3)}", link_row())
+
+    def plain_page() -> str:
+        """Blocks without names: only what stands in them tells."""
+        heading = one("<h1>{}</h1>", "<h2>{}</h2>", "<div><b>{}</b></div>", "<div>{}</div>").format(words(2, 8))
+        tag = one("div", "div", "p", "section")
+        texts = "".join(f"<{tag}>{' '.join(sentence() for _ in range(int(draw.integers(1, 6))))}</{tag}>" for _ in range(int(draw.integers(1, 9))))
+        before = f'<div data-content="0">{link_row()}</div>' if chance(0.7) else ""
+        after = f'<div data-content="0">{closing_line()}</div>' if chance(0.7) else ""
+        if chance(0.25):
+            return f'<div data-content="1">{before}{heading}{texts}{after}</div>'
+        return f'{before}<div data-content="1">{heading}{texts}</div>{after}'
+
+    def table_page() -> str:
+        """A table that lays out the page."""
+
+        def off_cell(inner: str, span: str = "") -> str:
+            return f'<td{span} data-content="0">{inner}</td>'
+
+        texts = "".join(f"<p>{' '.join(sentence() for _ in range(int(draw.integers(1, 5))))}" for _ in range(int(draw.integers(1, 6))))
+        main = f'<td data-content="1">{one("<h1>{}</h1>", "<h2>{}</h2>", "<b>{}</b><br>").format(words(2, 7))}{texts}</td>'
+        side = off_cell(one(links(), "<br>".join(f'<a href="/{i}">{words(1, 2)}</a>' for i in range(5))))
+        cells = one(side + main, main + side, main)
+        top = f"<tr>{off_cell(link_row(), ' colspan=2')}</tr>" if chance(0.7) else ""
+        end = f"<tr>{off_cell(closing_line(), ' colspan=2')}</tr>" if chance(0.7) else ""
+        return f"<table>{top}<tr>{cells}</tr>{end}</table>"
+
     for _ in range(n):
+        if chance(0.12):
+            yield f"<html><head><title>{words(2, 5)}</title></head><body>{one(plain_page, plain_page, table_page)()}" + one("</body></html>", "")
+            continue
         before = [f() for f in (notice, nav, ad, form) if chance(0.4)]
         if chance(0.4):
             top = f"<h2>{words(1, 3)}</h2>" if chance(0.5) else f'<a href="/">{words(1, 3)}</a><p>{sentence(2, 6)}</p>'
@@ -468,13 +575,21 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[str]:
 
 
 #: Labelled pages on which the model is trained.
-TRAINING_PAGES = 500
+TRAINING_PAGES = 600
+#: The trained weights, made by ``python -m kantele.llm.html``.
+WEIGHTS = Path(__file__).with_name("html_weights.json")
+
+
+def fitted() -> TreeModel:
+    """The model of the labelled pages, trained anew."""
+    return train([parse(x) for x in labelled_pages(TRAINING_PAGES)])
 
 
 @cache
 def trained() -> TreeModel:
-    """The model of the labelled pages."""
-    return train([parse(x) for x in labelled_pages(TRAINING_PAGES)])
+    """The model of the labelled pages, as it was trained and written to WEIGHTS."""
+    found = json.loads(WEIGHTS.read_text())
+    return TreeModel(np.array(found["own"]), np.array(found["pairs"]))
 
 
 def main_texts(column: pa.Array, model: TreeModel) -> list[str]:
@@ -511,3 +626,8 @@ def extract(df: DataFrame, model: TreeModel | None = None, id_col: str = "page_i
                 yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
     return columns(df, page_id=id_col, url=url_col, html=html_col).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    made = fitted()
+    WEIGHTS.write_text(json.dumps({"own": made.own.round(9).tolist(), "pairs": made.pairs.round(9).tolist()}, indent=1) + "\n")

@@ -2,12 +2,15 @@
 
 import itertools
 import re
+import time
+from collections import Counter
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+import unseen_pages
 from kantele.llm import html
 
 SF = "/root/testdata/sf0.1"
@@ -133,3 +136,35 @@ def test_embedded_elements_do_not_end_a_paragraph():
     page = html.parse("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b<noscript>c</noscript>d</p><script>no", labelled=False)
     assert [t for t in page.text if t] == ["a x=1 b", "c", "d"]
     assert [page.kind[p] for p, t in zip(page.parent, page.text, strict=True) if t] == [html.NUMBER[k] for k in ("paragraph", "container", "paragraph")]
+
+
+def test_stored_weights_are_the_trained_ones():
+    made, kept = html.fitted(), html.trained()
+    assert np.allclose(made.own, kept.own, atol=1e-4) and np.allclose(made.pairs, kept.pairs, atol=1e-4)
+
+
+def test_unseen_layouts(model):
+    """Blocks of layouts that no training page has; the bars are regression bars below what was measured (0.97, 1.0)."""
+    pages = list(unseen_pages.pages())
+    hit = got = want = 0
+    for (_, _, expected), found in zip(pages, html.main_texts(pa.array([p for _, p, _ in pages]), model), strict=True):
+        a, b = Counter(found.split("\n")), Counter(expected.split("\n"))
+        hit, got, want = hit + sum((a & b).values()), got + sum(a.values()), want + sum(b.values())
+    assert hit / got > 0.9 and hit / want > 0.95
+
+
+HOSTILE = ["<a ", "<", '<a "', '<a x="> ', "<!-- ", "</", "<!", "<title>", "</title", "<b>", "</b>", "<div></x>", "<li>", "<td>", "<a x='>", "<b></i>", "<p><b></p>"]
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_parsing_takes_linear_time(unit):
+    start = time.process_time()
+    html.parse(unit * ((1 << 20) // len(unit)), labelled=False)
+    assert time.process_time() - start < 8  # about 1 s; a quadratic scan takes minutes
+
+
+def test_tags_that_do_not_end():
+    page = html.parse("<p>a <b x='>c</b> d</p><p>e <i y=\">\">f</i> g <h", labelled=False)
+    assert [t for t in page.text if t] == ["a c d", 'e ">f g <h']
+    page = html.parse("<p>a <b x='>'>c</b></p><textarea>d<p>e<title>f", labelled=False)
+    assert "".join(t for t in page.text if t).replace(" ", "") == "acdef"
