@@ -106,6 +106,11 @@ def merged(lengths, size: int = WINDOW, most: int = OPEN):
         yield window, i < len(rest) - most
 
 
+def padded(length: int, window: int = WINDOW) -> int:
+    """Ids of a sequence with its padding: up to the window, none where its length is a power of two."""
+    return length if length & (length - 1) == 0 else window
+
+
 def pack_documents(
     df: DataFrame,
     tokenizer: str,

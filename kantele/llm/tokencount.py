@@ -32,11 +32,12 @@ class LongestMatch:
     """Longest-match automaton of a vocabulary.
 
     A word ``w`` is read as ``mark + w``; pieces that begin with ``mark`` are the
-    word-initial ones.
+    word-initial ones. Without any such piece a word is read as it is. Empty and
+    repeated pieces change nothing; without pieces every byte counts.
     """
 
     def __init__(self, pieces: Iterable[str], mark: str = SPACE):
-        self.mark = mark.encode()
+        self.mark, pieces = mark.encode(), list(pieces)
         child: list[dict[int, int]] = [{}]
         token = [False]
 
@@ -76,10 +77,11 @@ class LongestMatch:
         edges = sorted((node << 8 | byte, to) for node, x in enumerate(child) for byte, to in x.items())
         self.edges = np.array([k for k, _ in edges], np.int64)
         self.targets = np.array([to for _, to in edges], np.int64)
+        # A vocabulary without word-initial pieces reads words as they are.
         self.start = 0
-        for byte in self.mark:
-            self.start = child[self.start][byte] if byte in child[self.start] else 0
-        self.marked = self.start != 0
+        self.marked = bool(self.mark) and any(piece.startswith(mark) for piece in pieces)
+        for byte in self.mark if self.marked else b"":
+            self.start = child[self.start][byte]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "child"}

@@ -29,15 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import opened
-from .common import columns, map_text, shared_folder, sliced, written
+from .common import columns, discard, map_text, shared_folder, sliced, written
 
 MAGIC = b"KTK1"
 HEAD = struct.Struct("<4sB3x8sqq")
-#: Documents, and characters of each, on which the dictionary is trained at most (about).
-SAMPLE, SAMPLE_CHARS = 1000, 20_000
+#: Documents on which the dictionary is trained at most, and ids of a window of each.
+SAMPLE, SAMPLE_IDS = 1000, 4096
 DICTIONARY_BYTES = 64 << 10
 #: A block is closed at so many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 8192
+#: Ids that a partition of the store holds (about), beyond the configured partitions.
+PART_IDS = 32 << 20
 LEVEL = 3
 
 
@@ -153,7 +155,10 @@ class TokenStore:
         return self.blocks().select("part", "data").mapInArrow(read, schema)
 
     def document(self, doc_id: int) -> list[np.ndarray]:
-        """Ids of the documents with this id: only blocks that can hold it are read."""
+        """Ids of all documents with this id, none if there are none: only blocks that can hold it are read.
+
+        Rows without an id are not found by one; an empty text has the end id alone.
+        """
         dictionary, out = self.dictionary(), []
         for row in self.blocks().where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).select("data").toLocalIterator():
             found = Block(bytes(row["data"]), dictionary)
@@ -171,26 +176,35 @@ def write_store(
 ) -> TokenStore:
     """Encodes every document, ``end_id`` last, and writes a store in the order of doc_id.
 
-    Null and empty texts hold ``end_id`` alone; null ids and repeated rows are kept;
-    other columns take no part; an empty table gives a store without blocks.
+    Null and empty texts hold ``end_id`` alone; null ids and repeated rows are kept,
+    in the order of their lengths and contents; other columns take no part; an empty
+    table gives a store without blocks.
 
     The ids are made once, compressed where they are made, and only the frames are
-    shuffled, by range of doc_id. The dictionary comes from about SAMPLE documents
-    chosen by a hash of their id, up to SAMPLE_CHARS characters of each.
+    shuffled, by range of doc_id; rows that share an id go on to the next partition
+    like others. The dictionary is trained on a sample: the SAMPLE different rows with
+    the least hashes of id and text, encoded whole; of longer ones a window of
+    SAMPLE_IDS ids, which lies where the hash says.
     """
     spark = df.sparkSession
     path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     docs = columns(df, doc_id=id_col, text=text_col)
     width = opened(tokenizer).kind.itemsize
 
-    def serialized(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, ends = opened(tokenizer).encode(batch.column("text"))
-        tail = np.array([end_id], ids.dtype).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([ids[a:b].tobytes() + tail for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["ids"])
-
-    every = max(1, docs.count() // SAMPLE)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    samples = sorted(bytes(r["ids"]) for r in map_text(chosen, serialized, "ids binary").limit(4 * SAMPLE).collect())
+        out = []
+        for a, b, mark in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column("mark").to_pylist(), strict=True):
+            whole = np.append(ids[a:b], np.array([end_id], ids.dtype))
+            start = mark % (max(0, len(whole) - SAMPLE_IDS) + 1)
+            out.append(whole[start : start + SAMPLE_IDS].tobytes())
+        return pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(out, pa.binary())], ["mark", "ids"])
+
+    # Only rows in a share of all hashes are candidates, some four times SAMPLE.
+    marked = docs.select("text", F.xxhash64("doc_id", "text").alias("mark")).where(F.pmod("mark", F.lit(max(1, docs.count() // (4 * SAMPLE)))) == 0)
+    least = marked.select("mark").distinct().orderBy("mark").limit(SAMPLE)
+    chosen = marked.join(F.broadcast(least), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
+    samples = [bytes(r["ids"]) for r in sorted(map_text(chosen, windows, "mark long, ids binary").collect())]
     dictionary = train(samples)
     digest = dictionary_hash(dictionary)
     spark.createDataFrame([(digest, dictionary)], "hash binary, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -198,11 +212,14 @@ def write_store(
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, to = opened(tokenizer), compressor(dictionary)
         tail = np.array([end_id], encoder.kind).tobytes()
+        made = 0
         for batch in batches:
             for part in sliced(batch, "text"):
                 ids, ends = encoder.encode(part.column("text"))
                 frames = [to.compress(ids[a:b].tobytes() + tail) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends) + 1, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
+                arrays = [part.column("doc_id"), pa.array(np.diff(ends) + 1, pa.int64()), pa.array(frames, pa.binary()), pa.array(np.arange(made, made + len(frames)) % 4096, pa.int32())]
+                made += len(frames)
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "frame", "tie"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, made = TaskContext.get().partitionId(), 0, 0
@@ -229,8 +246,12 @@ def write_store(
         if held:
             yield flush()
 
-    frames = written(docs.mapInArrow(compress, "doc_id long, n_tokens long, frame binary"), "frames")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = frames.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame")
+    frames = written(docs.mapInArrow(compress, "doc_id long, n_tokens long, frame binary, tie int"), "frames")
+    total = frames.agg(F.sum("n_tokens")).head()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_IDS))
+    # Ties of an id are parted by length and content, and equal rows by their number in the table.
+    keys = ["doc_id", "n_tokens", F.xxhash64("frame"), "tie"]
+    ordered = frames.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("tie")
     ordered.mapInArrow(blocks, "part int, block int, n_docs long, n_tokens long, first_id long, last_id long, data binary").write.parquet(f"{path}/blocks")
+    discard(frames)
     return TokenStore(spark, path)

@@ -42,6 +42,15 @@ def test_longest_match(words):
     assert [machine.count(w.encode()) for w in words] == expected
 
 
+def test_vocabularies_without_the_mark():
+    """Words are read as they are where no piece is word-initial, whatever bytes the mark has."""
+    machine = tokencount.LongestMatch(["the", "a", "the", ""])
+    assert machine.counts(pa.array(["the", "a", "then", "at", ""])).tolist() == [1, 1, 2, 2, 0]
+    assert [machine.count(w) for w in (b"the", b"then", b"")] == [1, 2, 0]
+    assert tokencount.LongestMatch([]).counts(pa.array(["abc", "é"])).tolist() == [3, 2]
+    assert tokencount.LongestMatch(["_the", "the"], "_").counts(pa.array(["the", "thethe", "x"])).tolist() == [1, 2, 2]
+
+
 def test_token_counts(spark, odd, automaton):
     known = {x.encode() for x in tokencount.vocabulary(PIECES)}
     rows = tokencount.token_counts(odd, automaton).collect()
@@ -157,6 +166,33 @@ def test_token_store(spark, odd, tmp_path):
         tokenfile.Block(bytes(store.blocks().head()["data"]), b"another dictionary")
 
 
+def test_token_store_of_one_id(spark, tmp_path, monkeypatch):
+    """Rows that share an id, or have none, are spread over partitions and stay in order."""
+    monkeypatch.setattr(tokenfile, "PART_IDS", 2000)
+    rows = [(7, f"word {i} " * (i % 9)) for i in range(900)] + [(None, "same text here")] * 700 + [(i, "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    store = tokenfile.write_store(df, WORDS, f"file://{tmp_path}/hot")
+    blocks = store.blocks().select("part", "n_docs", "first_id", "last_id").collect()
+    assert len([b for b in blocks if b.first_id == b.last_id == 7]) > 3 and len([b for b in blocks if b.first_id is None]) > 1
+    found = sorted(store.documents().collect(), key=lambda r: r.start)
+    ids = [-1 if r.doc_id is None else r.doc_id for r in found]
+    assert ids == sorted(ids) and len(ids) == len(rows)
+    assert [r.start for r in found] == [0, *np.cumsum([r.n_tokens for r in found])[:-1].tolist()]
+    assert len(store.document(7)) == 901
+
+
+def test_the_dictionary_is_the_same_however_rows_lie(spark, tmp_path, monkeypatch):
+    """The sample is of whole documents by hash: order and partitions play no part."""
+    monkeypatch.setattr(tokenfile, "SAMPLE", 40)
+    df = spark.createDataFrame([(i % 300, f"word{i % 50} and again " * (i % 30)) for i in range(900)], "doc_id long, text string")
+    stores = [tokenfile.write_store(x, WORDS, f"file://{tmp_path}/{i}") for i, x in enumerate((df.repartition(5), df.coalesce(1).orderBy("text")))]
+    assert stores[0].dictionary() == stores[1].dictionary()
+
+
+def test_padding():
+    assert [packing.padded(n) for n in (1, 3, 1024, 1500, 2048)] == [1, 2048, 1024, 2048, 2048]
+
+
 def test_token_store_of_many_and_of_none(spark, tmp_path):
     df = spark.createDataFrame([(i, f"word{i % 50} and again " * (i % 30)) for i in range(3000)], "doc_id long, text string")
     store = tokenfile.write_store(df, WORDS, f"file://{tmp_path}/many")
