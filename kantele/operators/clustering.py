@@ -22,7 +22,7 @@ from ..functions.kernels import Entropic, Fuzzy, Hard, Rough, nearest
 from ..plans.engine import Method, Step, Steps, Until, iterate
 from ..plans.partials import reduced
 from ..sources.points import Points, blocks_of, prepared, rows_of
-from .neighbors import pairs_within
+from .neighbors import most_pairs, pairs_within
 from .seeding import seeds
 
 LABELLED = "label int, membership array<double>"
@@ -137,14 +137,14 @@ def started(df: DataFrame, k: int, init, seed: int | None, source: dict, ready=l
     """Points and initial centers; what can be checked without the data is checked first."""
     k = checks.whole(k, "k", 1)
     if isinstance(init, str) and init != "k-means++":
-        raise ValueError("init must be 'k-means++' or a (k, n_features) matrix")
+        raise ValueError(f"init is neither 'k-means++' nor a matrix of k rows: {init!r}")
     seed = checks.seed(seed)
     given = None if isinstance(init, str) else checks.matrix(init, "init")
     points = ready(prepared(df, **source))
     checks.whole(k, "k", 1, points.n)
     if given is not None:
         if given.shape != (k, points.width):
-            raise ValueError(f"init must have shape ({k}, {points.width})")
+            raise ValueError(f"init has shape {given.shape}; k and the features ask for ({k}, {points.width})")
         return points, given
     # Seeds lie on rows; their cell means keep a large m from stalling there.
     first = seeds(points, k, seed) + points.mean
@@ -266,14 +266,19 @@ class Neighborhoods(Points):
     edges: DataFrame = None
     joined: DataFrame = None
 
+    def release(self) -> None:
+        super().release()
+        self.joined.unpersist()
+
 
 def neighborhoods(delta: float, max_edges: int) -> Callable[[Points], Neighborhoods]:
     def ready(points: Points) -> Neighborhoods:
-        pairs = pairs_within(points, delta).persist(StorageLevel.MEMORY_AND_DISK)
-        edges = pairs.count()
-        if edges > max_edges:
-            pairs.unpersist()
-            raise ValueError(f"delta={delta} gives {edges} edges > max_edges={max_edges}")
+        pairs = pairs_within(points, delta)
+        # The cells' sizes bound the pairs; only beyond that bound are pairs counted, up to one too many.
+        if most_pairs(points, delta) > max_edges and pairs.limit(max_edges + 1).count() > max_edges:
+            points.release()
+            raise ValueError(f"delta={delta} gives more than max_edges={max_edges} edges")
+        pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
         graph = pairs.join(pairs.groupBy("i").agg(F.count("*").alias("degree")), "i").persist(StorageLevel.MEMORY_AND_DISK)
         centered = [(F.col("x")[d] - float(points.mean[d])).alias(f"c{d}") for d in range(points.width)]
         flat = points.df.select(F.col("row_id").alias("i"), *centered)
@@ -281,7 +286,7 @@ def neighborhoods(delta: float, max_edges: int) -> Callable[[Points], Neighborho
             F.array(*(F.sum(F.col(f"c{d}") / F.col("degree")) for d in range(points.width))).alias("y"), F.sum(1.0 / F.col("degree")).alias("z")
         )
         df = points.df.join(added, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
-        return Neighborhoods(points.df, points.n, points.mean, points.radius, points.blocks, graph, df)
+        return Neighborhoods(points.df, points.n, points.mean, points.radius, points.blocks, points.span, graph, df)
 
     return ready
 

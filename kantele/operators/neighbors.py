@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.points import Points
 
-#: Leading features that cut the space into cells.
+#: Features that cut the space into cells, the ones that part it into most.
 CELL_FEATURES = 2
 
 
+def cells(points: Points, delta: float) -> list[Column]:
+    """A row's cell: the widest features by steps of delta, or their values if delta is 0."""
+    widest = np.argsort(-points.span, kind="stable")[:CELL_FEATURES].tolist()
+    # Cells slightly wider than delta keep rounding from parting rows at exactly delta.
+    side = delta * (1 + 1e-9)
+    return [F.floor((F.col("x")[d] - float(points.mean[d])) / side) if delta > 0 else F.col("x")[d] for d in widest]
+
+
+def steps(delta: float) -> tuple[int, ...]:
+    """Steps from a cell to its neighbours in a feature."""
+    return (-1, 0, 1) if delta > 0 else (0,)
+
+
+def most_pairs(points: Points, delta: float) -> int:
+    """Ordered pairs of rows in neighbouring cells: no fewer than the pairs within delta."""
+    names = [f"k{d}" for d in range(len(cells(points, delta)))]
+    sizes = points.df.groupBy(*(c.alias(n) for c, n in zip(cells(points, delta), names, strict=True))).agg(F.count("*").alias("n"))
+    moves = F.explode(F.array(*(F.array(*(F.lit(s) for s in step)) for step in itertools.product(steps(delta), repeat=len(names)))))
+    around = sizes.withColumnRenamed("n", "m").withColumn("move", moves)
+    around = around.select("m", *((F.col(n) + F.col("move")[i]).alias(n) for i, n in enumerate(names)))
+    found = sizes.join(around, names).agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("m"))).head()[0]
+    return int(found or 0)
+
+
 def pairs_within(points: Points, delta: float) -> DataFrame:
     """(i, j) of all ordered pairs at a distance of at most delta, each row with itself.
 
-    Rows fall into cells of side delta of the leading features and meet the rows of
+    Rows fall into cells of side delta of the widest features and meet the rows of
     neighbouring cells by an equi-join; the distance is checked after. Without a
-    distance (delta = 0) rows meet those of equal values.
+    distance (delta = 0) rows meet those of equal values. A cell of very many rows is
+    split by adaptive execution, which deals its left rows to several tasks.
     """
-    q = min(CELL_FEATURES, points.width)
-    # Cells slightly wider than delta keep rounding from parting rows at exactly delta.
-    side = delta * (1 + 1e-9)
-    cell = [F.floor((F.col("x")[d] - float(points.mean[d])) / side) if delta > 0 else F.col("x")[d] for d in range(q)]
-    left = points.df.select(F.col("row_id").alias("i"), F.col("x").alias("a"), *(c.alias(f"k{d}") for d, c in enumerate(cell)))
-    right = points.df.select(F.col("row_id").alias("j"), F.col("x").alias("b"), *(c.alias(f"k{d}") for d, c in enumerate(cell)))
-    if delta > 0:
-        for d in range(q):
-            right = right.withColumn(f"k{d}", F.explode(F.array(*(F.col(f"k{d}") + s for s in (-1, 0, 1)))))
+    own = cells(points, delta)
+    names = [f"k{d}" for d in range(len(own))]
+    left = points.df.select(F.col("row_id").alias("i"), F.col("x").alias("a"), *(c.alias(n) for c, n in zip(own, names, strict=True)))
+    right = points.df.select(F.col("row_id").alias("j"), F.col("x").alias("b"), *(c.alias(n) for c, n in zip(own, names, strict=True)))
+    for name in names if delta > 0 else ():
+        right = right.withColumn(name, F.explode(F.array(*(F.col(name) + s for s in steps(delta)))))
     gaps = sum(((F.col("a")[d] - F.col("b")[d]) * (F.col("a")[d] - F.col("b")[d]) for d in range(points.width)), F.lit(0.0))
-    return left.join(right, [f"k{d}" for d in range(q)]).where(F.sqrt(gaps) <= F.lit(float(delta))).select("i", "j")
+    return left.join(right, names).where(F.sqrt(gaps) <= F.lit(float(delta))).select("i", "j")

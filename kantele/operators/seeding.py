@@ -9,11 +9,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
-from ..functions.kernels import quick_distances, uniform_hash
+from ..functions.kernels import least_distance, quick_distances, uniform_hash
 from ..plans.partials import reduced
 from ..sources.points import Points, blocks_of
 
 
+def _first(ring: np.ndarray, rate: np.ndarray, x: np.ndarray) -> tuple[tuple[bool, float], np.ndarray]:
+    """((without weight, time), row) of the first clock to ring; rows of rate 0 only if there are no others."""
+    with np.errstate(divide="ignore"):
+        time = np.divide(ring, rate)
+    i = int(time.argmin())
+    weightless = not rate[i] > 0
+    if weightless:
+        i = int(ring.argmin())
+    return (weightless, float(ring[i] if weightless else time[i])), x[i]
+
+
 def _round(points: Points, chosen: np.ndarray, candidates: np.ndarray, salt: int, trials: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(sums, draws): what each candidate would leave, were it chosen.
 
@@ -32,14 +43,10 @@ def _round(points: Points, chosen: np.ndarray, candidates: np.ndarray, salt: int
             ids = np.arange(at, at + len(x), dtype=np.int64) + (part << 40)
             at += len(x)
             rings = [-np.log(uniform_hash(ids, salt * 1000 + trial)) for trial in range(trials)]
-            near = quick_distances(x, chosen).min(axis=1) if len(chosen) else np.full(len(x), np.inf)
+            near = least_distance(x, chosen) if len(chosen) else np.full(len(x), np.inf)
             found = []
             for distance in np.minimum(near[:, None], quick_distances(x, candidates)).T:
-                weightless = distance <= 0
-                rate = np.where(weightless, 1.0, distance)
-                # Rows of weight 0 ring only if there is no other.
-                first = [int(np.lexsort((ring / rate, weightless))[0]) for ring in rings]
-                found.append((float(distance.sum()), [((bool(weightless[i]), float(ring[i] / rate[i])), x[i]) for i, ring in zip(first, rings, strict=True)]))
+                found.append((float(distance.sum()), [_first(ring, distance, x) for ring in rings]))
             total = found if total is None else merge([total, found])
         return total
 

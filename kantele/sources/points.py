@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +37,8 @@ class Points:
     """Checked rows: ``df`` has row_id and x (array of doubles).
 
     ``blocks`` has the same rows as binary matrices, persisted: an iteration reads
-    them without a conversion for each row. ``mean`` and ``radius``, the root mean
-    square norm about it, are driver-side.
+    them without a conversion for each row. ``mean``, ``radius`` (the root mean square
+    norm about it) and ``span`` (of each feature) are driver-side.
     """
 
     df: DataFrame
@@ -46,6 +46,7 @@ class Points:
     mean: np.ndarray
     radius: float
     blocks: DataFrame
+    span: np.ndarray
 
     @property
     def width(self) -> int:
@@ -75,14 +76,19 @@ def selected(df: DataFrame, features: list[str] | str, id_col: str) -> DataFrame
 
 
 #: Bytes of a packed block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+PACKED = "data binary, width int, fault string, part int, nr int"
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (data, width, fault) of a task's rows."""
+    """Blocks (data, width, fault) of a task's rows, numbered by task and place."""
+    part, made = TaskContext.get().partitionId(), 0
 
     def row(data: bytes, width: int, fault: str | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([width], pa.int32()), pa.array([fault], pa.string())], ["data", "width", "fault"])
+        nonlocal made
+        made += 1
+        values = [pa.array([data], pa.binary()), pa.array([width], pa.int32()), pa.array([fault], pa.string()), pa.array([part], pa.int32()), pa.array([made], pa.int32())]
+        return pa.RecordBatch.from_arrays(values, [x.split()[0] for x in PACKED.split(", ")])
 
     for batch in batches:
         if not batch.num_rows:
@@ -145,6 +151,15 @@ FAULTS = {
 }
 
 
+def dealt(blocks: DataFrame) -> DataFrame:
+    """Blocks of few partitions, such as those of one file, dealt to as many as there are cores, in order."""
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    if blocks.rdd.getNumPartitions() >= cores:
+        return blocks
+    place = F.pmod(F.col("nr") + F.col("part"), F.lit(cores))
+    return blocks.repartitionById(cores, place).sortWithinPartitions("part", "nr")
+
+
 def prepared(df: DataFrame, features: list[str] | str, id_col: str = "row_id", width: int | None = None) -> Points:
     """Packs the rows once, checks and describes them in two passes over the blocks.
 
@@ -152,7 +167,7 @@ def prepared(df: DataFrame, features: list[str] | str, id_col: str = "row_id", w
     rows, and no rows at all, are a ValueError.
     """
     points = selected(df, features, id_col)
-    blocks = points.mapInArrow(_packed, "data binary, width int, fault string").persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = dealt(points.mapInArrow(_packed, PACKED)).persist(StorageLevel.MEMORY_AND_DISK)
     found = reduced(blocks, _described, _merged)
     if found is None:
         raise ValueError("X must have at least one row")
@@ -172,4 +187,4 @@ def prepared(df: DataFrame, features: list[str] | str, id_col: str = "row_id", w
         return None if total is None else (np.array(total),)
 
     radius = float(np.sqrt(reduced(blocks, spread)[0] / found["n"]))
-    return Points(points, int(found["n"]), mean, radius, blocks)
+    return Points(points, int(found["n"]), mean, radius, blocks, found["high"] - found["low"])

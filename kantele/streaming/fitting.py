@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import checks
 from ..plans.engine import Progress, Result, Steps
 
 
@@ -47,36 +49,63 @@ class StreamedFit:
 
 
 class BackgroundRun:
-    """A generator run on a thread of its own, under a job group that cancel() stops."""
+    """A generator run on a thread of its own, under a job group that cancel() stops.
 
-    def __init__(self, spark: SparkSession, steps: Steps, on_progress: Callable[[Progress], None] | None = None, group: str = "kantele"):
+    ``signal`` is an event that ends the run when it is set, and may be shared by
+    several runs. After ``seconds`` the run ends at its current iteration, with what it
+    has reached as its result. ``reason`` is None while it goes on, then finished,
+    budget, cancelled or failed; ``progress`` is the last iteration's.
+    """
+
+    def __init__(
+        self, spark: SparkSession, steps: Steps, on_progress: Callable[[Progress], None] | None = None, group: str = "kantele",
+        seconds: float | None = None, signal: threading.Event | None = None,
+    ):
         self.spark, self.steps, self.on_progress, self.group = spark, steps, on_progress, group
+        self.seconds = None if seconds is None else checks.number(seconds, "seconds", 0.0, above=True)
         self.value: Result | None = None
         self.error: BaseException | None = None
-        self._stop = threading.Event()
+        self.progress: Progress | None = None
+        self.reason: str | None = None
+        self._stop = threading.Event() if signal is None else signal
         self._thread = threading.Thread(target=self._run, daemon=True)
+        self._watch = threading.Thread(target=self._watched, daemon=True)
         self._thread.start()
+        self._watch.start()
 
     def _run(self) -> None:
         self.spark.sparkContext.setJobGroup(self.group, "iterations", interruptOnCancel=True)
+        began = time.monotonic()
         try:
             while not self._stop.is_set():
-                progress = next(self.steps)
+                self.progress = next(self.steps)
                 if self.on_progress:
-                    self.on_progress(progress)
+                    self.on_progress(self.progress)
+                if self.seconds is not None and time.monotonic() - began >= self.seconds:
+                    self.value, self.reason = self.progress.result(), "budget"
+                    self.steps.close()
+                    return
+            self.reason = "cancelled"
         except StopIteration as end:
-            self.value = end.value
+            self.value, self.reason = end.value, "finished"
         except BaseException as error:  # handed to result()
-            self.error = error
+            self.error, self.reason = error, "cancelled" if self._stop.is_set() else "failed"
+
+    def _watched(self) -> None:
+        """Stops the jobs of the current iteration when the signal comes."""
+        while self._thread.is_alive():
+            if self._stop.wait(0.1):
+                self.spark.sparkContext.cancelJobGroup(self.group)
+                return
 
     def cancel(self) -> None:
-        """Ends the run after, or within, its current iteration."""
+        """Ends the run, and others of its signal, after, or within, the current iteration."""
         self._stop.set()
         self.spark.sparkContext.cancelJobGroup(self.group)
 
     def result(self, timeout: float | None = None) -> Result | None:
         """The run's result; None if it was cancelled or is still going."""
         self._thread.join(timeout)
-        if self.error is not None and not self._stop.is_set():
+        if self.reason == "failed":
             raise self.error
         return self.value

@@ -112,11 +112,25 @@ def test_latent_positions_go_on_with_the_same_rows(spark):
     fewer = run.send(df.where("row_id < 100")).result()
     w, _, _, _ = olp(x, START, UNITS, 1.3, 0.4, 1)
     assert np.allclose(fewer.centers, olp(x[:100], w, UNITS, 1.3, 0.4, 1)[0], atol=1e-9)
+    # As many rows under other ids go on by their place.
     run = kantele.steps.som_olp(df, (4, 3), **settings)
     next(run)
     other, _ = frame(spark, x, first=1000)
-    with pytest.raises(ValueError, match="ids"):
-        run.send(other)
+    run.send(other)
+    with pytest.raises(StopIteration) as end:
+        run.send(other.repartition(3))
+        run.send(None)
+    assert np.allclose(end.value.value.centers, plain.centers, atol=1e-9)
+
+
+def test_older_latent_rows_are_let_go(spark):
+    """However many iterations, few frames stay held."""
+    df, names = frame(spark, blobs())
+    held = spark.sparkContext._jsc.getPersistentRDDs
+    before = len(held())
+    run = kantele.steps.som_olp(df, (4, 3), lam=1.3, gamma=0.4, features=names, init=START, max_iter=9)
+    counts = [len(held()) - before for _ in run]
+    assert max(counts) <= 5 and counts[-1] <= counts[3] + 1
 
 
 def test_apply_som(spark):
@@ -144,10 +158,18 @@ def test_principal_start(spark):
     c = x - x.mean(axis=0)
     values, vectors = np.linalg.eigh(c.T @ c / len(c))
     axes = [vectors[:, -1], vectors[:, -2]]
+    assert np.allclose(kantele.operators.maps.covariance(prepared(df, names)), c.T @ c / len(c))
     axes = [a * np.sign(a[np.flatnonzero(np.abs(a) > 1e-6 * np.abs(a).max())[0]]) for a in axes]
     spread = (units - units.mean(axis=0)) / np.abs(units - units.mean(axis=0)).max(axis=0)
     assert np.allclose(start, sum(np.outer(spread[:, i] * 2 * np.sqrt(values[-1 - i]), axes[i]) for i in range(2)), atol=1e-9)
-    wide, names = frame(spark, rng.normal(size=(6, 20)) * np.linspace(3, 0.1, 20))
+    few = rng.normal(size=(6, 20)) * np.linspace(3, 0.1, 20)
+    wide, names = frame(spark, few)
+    start = principal_start(prepared(wide, names), units, 1.0)
+    c = few - few.mean(axis=0)
+    # Prototypes lie in the plane of the two leading axes, at one deviation at most along each.
+    values, vectors = np.linalg.eigh(c.T @ c / 6)
+    along = start @ vectors[:, -2:]
+    assert np.allclose(along @ vectors[:, -2:].T, start) and np.allclose(np.abs(along).max(axis=0), np.sqrt(values[-2:]))
     assert kantele.batch_som(wide, (2, 2), features=names, epochs=2).centers.shape == (4, 20)
 
 

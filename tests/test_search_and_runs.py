@@ -1,5 +1,7 @@
 """Search, streamed and background runs, storage, and the public names."""
 
+import threading
+
 import numpy as np
 import pytest
 from helpers import blobs, frame
@@ -9,12 +11,12 @@ from hypothesis import strategies as st
 import kantele
 from kantele import steps
 
-SPACE = {"x": kantele.uniform(-5, 5), "lr": kantele.loguniform(1e-5, 1e-1), "n": kantele.integer(1, 20), "kind": kantele.choice("a", "b", "c")}
-START = [[0.5, 0.5], [3.0, 1.0], [1.0, 3.0]]
+SPACE = {"angle": kantele.uniform(-2, 7), "rate": kantele.loguniform(1e-6, 10.0), "depth": kantele.integer(2, 33), "form": kantele.choice("flat", "round", "sharp", "none")}
+START = [[0.4, 0.7], [3.3, 0.9], [0.8, 3.6]]
 
 
 def loss(p):
-    return (p["x"] - 1) ** 2 + abs(np.log10(p["lr"]) + 3) + 0.1 * abs(p["n"] - 7) + (p["kind"] != "b")
+    return (p["angle"] - 2.5) ** 2 + abs(np.log10(p["rate"]) + 2) + 0.05 * abs(p["depth"] - 11) + (p["form"] != "sharp")
 
 
 def test_beats_random_search():
@@ -26,7 +28,7 @@ def test_beats_random_search():
 def test_space_is_respected_and_search_resumes(spark):
     found = kantele.minimize(loss, SPACE, 40, seed=3)
     for p in found.params:
-        assert -5 <= p["x"] <= 5 and 1e-5 <= p["lr"] <= 1e-1 and p["kind"] in "abc" and 1 <= p["n"] <= 20 and isinstance(p["n"], int)
+        assert -2 <= p["angle"] <= 7 and 1e-6 <= p["rate"] <= 10 and p["form"] in ("flat", "round", "sharp", "none") and 2 <= p["depth"] <= 33 and isinstance(p["depth"], int)
     assert found.best_value == found.values.min() and found.best_params == found.params[int(found.values.argmin())]
     a, b = kantele.TPE(SPACE, seed=3), kantele.TPE(SPACE, seed=3)
     for p, v in zip(found.params, found.values, strict=True):
@@ -38,6 +40,40 @@ def test_space_is_respected_and_search_resumes(spark):
     assert found.trials(spark).count() == 40
 
 
+def test_densities_integrate_to_one():
+    """On a line, and over options: kernels are densities, and draws follow them."""
+    from kantele.operators.search import Interval, Kernels, Options
+
+    rng = np.random.default_rng(4)
+    line = Kernels(np.r_[rng.random(6), 0.25, 0.25, 0.0, 1.0][:, None], [Interval(0, 1)])
+    grid = (np.arange(20000) + 0.5) / 20000
+    density = np.exp(line.log_density(grid[:, None]))
+    assert density.mean() == pytest.approx(1.0, abs=1e-4)
+    drawn = line.drawn(rng.random((40000, 2)))[:, 0]
+    assert np.abs(np.histogram(drawn, 20, (0, 1))[0] / 40000 - density.reshape(20, -1).mean(axis=1) / 20).max() < 0.01
+    # Widths: the larger gap to a neighbour or an end, 0.03 at least, the wide kernel 1.
+    placed = Kernels(np.array([[0.1], [0.45], [0.46]]), [Interval(0, 1)])
+    assert placed.width[:, 0] == pytest.approx([0.35, 0.35, 0.0625, 1.0])
+    both = Kernels(np.array([[0.0, 0.3], [0.0, 0.6], [2.0, 0.9]]), [Options(("a", "b", "c")), Interval(0, 1)])
+    total = sum(np.exp(both.log_density(np.column_stack([np.full(2000, o), (np.arange(2000) + 0.5) / 2000]))).mean() for o in range(3))
+    assert total == pytest.approx(1.0, abs=1e-4)
+    picked = both.drawn(rng.random((30000, 3)))[:, 0]
+    # Three trials and the wide kernel: own option but for a quarter that is spread.
+    share = (np.array([2, 0, 1]) * 0.75 + 3 * 0.25 / 3 + 1 / 3) / 4
+    assert np.bincount(picked.astype(int), minlength=3) / 30000 == pytest.approx(share, abs=0.01)
+
+
+@given(st.floats(-2, 7), st.integers(2, 33))
+@settings(max_examples=50, deadline=None)
+def test_places_and_values(angle, depth):
+    for d, value in ((SPACE["angle"], angle), (SPACE["rate"], 10.0 ** ((angle + 2) * 0.76 - 5.9)), (SPACE["depth"], depth), (kantele.integer(2, 33, log=True), depth)):
+        assert 0 <= d.place(value) <= 1 and d.value(d.place(value)) == pytest.approx(value)
+    for d in SPACE.values():
+        for bad in ("x", None, 100, float("nan"), True):
+            with pytest.raises(ValueError):
+                d.place(bad)
+
+
 @given(st.lists(st.tuples(st.floats(-5, 5), st.floats(-10, 10)), min_size=2, max_size=30))
 @settings(max_examples=50, deadline=None)
 def test_any_told_trials_give_a_proposal(trials):
@@ -110,7 +146,17 @@ def test_background_run(spark):
     assert run.result(60).stop_reason == "tol" and len(seen) >= 1
     run = kantele.BackgroundRun(spark, steps.fcm(df, 3, features=names, init=START, tol=0.0, max_iter=None), group="other")
     run.cancel()
-    assert run.result(60) is None
+    assert run.result(60) is None and run.reason == "cancelled"
+    endless = steps.fcm(df, 3, features=names, init=START, tol=0.0, max_iter=None)
+    seen.clear()
+    run = kantele.BackgroundRun(spark, endless, seen.append, group="budget", seconds=1.0)
+    assert run.result(120).n_iter == len(seen) >= 1 and run.reason == "budget"
+    signal = threading.Event()
+    runs = [kantele.BackgroundRun(spark, steps.fcm(df, 3, features=names, init=START, tol=0.0, max_iter=None), group=g, signal=signal) for g in ("one", "two")]
+    signal.set()
+    assert [r.result(120) is None and r.reason for r in runs] == ["cancelled"] * 2
+    with pytest.raises(ValueError):
+        kantele.BackgroundRun(spark, steps.kmeans(df, 3, features=names), seconds=0)
     broken = kantele.BackgroundRun(spark, steps.kmeans(df, 0, features=names))
     with pytest.raises(ValueError):
         broken.result(60)
