@@ -96,6 +96,38 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op9_quality_rules: all columns but the trees' verdict."""
+    return op9_quality_rules(spark, sf_dir).drop("kept", "quality")
+
+
+WORD = r"[^\x20\x09-\x0D]"
+QUALITY_BASE_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}+') as w from documents),
+u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+t as (select doc_id, i, word as a, lead(word, 1) over o as b, lead(word, 2) over o as c from u window o as (partition by doc_id order by i)),
+r as (select doc_id, unnest(list(i)) as i from t where c is not null group by doc_id, a, b, c having count(*) > 1),
+p as (select doc_id, count(distinct i + k) as n from r, (values (0), (1), (2)) as s(k) group by doc_id),
+b as (select d.doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) as lines, coalesce(p.n, 0)::bigint as n_repeat_words
+  from d left join p on p.doc_id = d.doc_id)
+select doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
+from b
+"""
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op1_token_counts: the words of every document."""
+    return op1_token_counts(spark, sf_dir).select("doc_id", "n_words")
+
+
+WORD_COUNTS_SQL = f"""
+select doc_id, len(regexp_extract_all(coalesce(text, ''), '{WORD}+'))::bigint as n_words from documents
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     from .simhash import near_duplicates
@@ -104,6 +136,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_lm_scores, op5_sentencepiece, op6_token_files, op7_main_text, op8_top_k, op9_quality_rules, op10_simhash)
+    f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_lm_scores, op5_sentencepiece, op6_token_files, op7_main_text, op8_top_k, op9_quality_rules, op10_simhash, quality_base, word_counts)
 }
-ORACLE_SQL: dict[str, str] = {"op8_top_k": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_top_k": OP8_SQL, "quality_base": QUALITY_BASE_SQL, "word_counts": WORD_COUNTS_SQL}

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -140,3 +141,15 @@ def test_op10(spark, docs):
             forest.link(j, k)
     found = by_id(queries.op10_simhash(spark, SF))
     assert {i: (found[i].fingerprint, found[i].component_id) for i in ids} == {i: (f"{int(p):016x}", ids[forest.root(j)]) for j, (i, p) in enumerate(zip(ids, prints, strict=True))}
+
+
+@pytest.mark.parametrize("name", ["quality_base", "word_counts"])
+@pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.01"])
+def test_equals_sql(spark, name, folder):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    answer = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in answer.description]
+    found = queries.QUERIES[name](spark, folder)
+    assert sorted(found.columns) == sorted(names)
+    assert sorted(tuple(r) for r in found.select(names).collect()) == sorted(answer.fetchall())
