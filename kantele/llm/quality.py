@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import boosting
 from .common import Words, columns, encoded, keep, map_text, texts, words
@@ -119,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "d
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], ["doc_id", "label", "x"])
 
     found = labelled(docs, labels, "quality", most, id_col=id_col, text_col=text_col)
-    rows = map_text(found, step, "doc_id long, label int, x array<double>").orderBy("doc_id", F.col("x").cast("string")).collect()
+    rows = sorted(map_text(found, step, "doc_id long, label int, x array<double>").collect())
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return boosting.fit(x, np.array([r["label"] for r in rows], float), SIGNS)
 
