@@ -3,9 +3,9 @@
 import numpy as np
 
 
-def blobs(seed=1, n=40, spread=0.6):
+def blobs(seed=11, n=40, spread=0.7):
     rng = np.random.default_rng(seed)
-    return np.concatenate([rng.normal(c, spread, (n, 2)) for c in ((0, 0), (4, 0), (1, 4))])
+    return np.concatenate([rng.normal(c, spread, (n, 2)) for c in ((-1, 2), (3.5, -0.5), (0.5, 6.5))])
 
 
 def frame(spark, x, parts=3, first=0):

@@ -7,7 +7,7 @@ from helpers import blobs, collected, distances, frame, means, train
 import kantele
 from kantele import apply, steps
 
-START = [[0.5, 0.5], [3.0, 1.0], [1.0, 3.0]]
+START = [[-0.6, 1.4], [2.9, 0.3], [1.1, 5.2]]
 CASES = [
     ("kmeans", {}), ("fcm", {"m": 2.0}), ("fcm", {"m": 1.3}), ("fcm", {"m": 40.0}), ("efcm", {"tau": 0.7}),
     ("rcm", {"alpha": 1.3, "beta": 0.4, "p": 1.0}), ("rcm", {"alpha": 1.2, "beta": 0.5, "p": 2.5}),
@@ -73,11 +73,11 @@ def test_rmcm(spark, delta):
 
 
 def test_rmcm_by_hand(spark):
-    df, names = frame(spark, np.array([[4.0], [6.0], [4.0]]), 1)
+    df, names = frame(spark, np.array([[7.0], [12.0], [7.0]]), 1)
     pair = df.where("row_id < 2")
-    found = apply.rmcm(pair, [[0.0], [10.0]], delta=3.0, features=names)
+    found = apply.rmcm(pair, [[5.0], [14.0]], delta=6.0, features=names)
     assert collected(found, ["membership"])[0].tolist() == [[0.5, 0.5], [0.5, 0.5]]
-    alone = apply.rmcm(df.where("row_id = 2"), [[0.0], [10.0]], delta=3.0, features=names)
+    alone = apply.rmcm(df.where("row_id = 2"), [[5.0], [14.0]], delta=6.0, features=names)
     assert collected(alone, ["membership"])[0].tolist() == [[1.0, 0.0]]
 
 

@@ -8,7 +8,7 @@ import kantele
 from kantele import apply
 
 UNITS = np.array([[r, c] for r in range(4) for c in range(3)], float)
-START = np.array([[x, y] for x in np.linspace(-1, 5, 4) for y in np.linspace(-1, 5, 3)])
+START = np.array([[x, y] for x in np.linspace(-2, 4.5, 4) for y in np.linspace(-1.5, 7, 3)])
 
 
 def schedule(a, b, f):
@@ -70,7 +70,7 @@ def test_online_som(spark):
     df, names = frame(spark, x)
     found = kantele.som(df, (4, 3), features=names, epochs=2, shuffle=False, init=START)
     assert np.allclose(found.centers, online(x, START, UNITS, 2, 1.5, 0.5, 0.5, 0.01), atol=1e-9)
-    odd = np.random.default_rng(7).normal(size=(7, 3)) * 2.5 - 1
+    odd = np.random.default_rng(17).normal(size=(7, 3)) * 1.7 + 0.4
     given = kantele.som(df, odd, features=names, epochs=1, sigma=1.0, shuffle=False, init=START[:7])
     assert np.allclose(given.centers, online(x, START[:7], odd, 1, 1.0, 0.5, 0.5, 0.01), atol=1e-9)
     a, b, c = (kantele.som(df, (4, 3), features=names, epochs=1, seed=s).centers for s in (1, 1, 2))

@@ -12,7 +12,7 @@ import kantele
 from kantele import steps
 
 SPACE = {"angle": kantele.uniform(-2, 7), "rate": kantele.loguniform(1e-6, 10.0), "depth": kantele.integer(2, 33), "form": kantele.choice("flat", "round", "sharp", "none")}
-START = [[0.4, 0.7], [3.3, 0.9], [0.8, 3.6]]
+START = [[-0.6, 1.4], [2.9, 0.3], [1.1, 5.2]]
 
 
 def loss(p):
