@@ -6,6 +6,7 @@ engines add in different orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,8 +18,12 @@ from .functions.columns import effective_units, scaling, standardized
 from .operators.maps import covariance, map_quality, principal_start, unit_coordinates
 from .operators.metrics import Counts, Neighborhood, Table, ami, ari, contingency, continuity, expected_information, nearest_rows, ranks, trustworthiness
 from .operators.neighbors import pairs_within
+from .operators.search import Interval, Kernels
+from .operators.seeding import seeds
 from .plans.engine import Result
 from .sources.points import prepared
+from .sources.shared import shared_folder
+from .sources.store import load, save
 from .streaming.fitting import StreamedFit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,16 +98,18 @@ def soft_share(tau: float) -> str:
     return f"exp((low - d2) / {tau}) / sum(exp((low - d2) / {tau})) over (partition by id)"
 
 
-def rough_share(alpha: float, beta: float) -> str:
-    held = f"case when sqrt(d2) <= {alpha} * sqrt(low) + {beta} then 1.0 else 0.0 end"
+def rough_share(alpha: float, beta: float, p: float = 1.0) -> str:
+    reach = f"{alpha} * sqrt(low) + {beta}" if p == 1 else f"power(power({alpha} * sqrt(low), {p}) + power({beta}, {p}), 1 / {p})"
+    held = f"case when sqrt(d2) <= {reach} then 1.0 else 0.0 end"
     return f"{held} / sum({held}) over (partition by id)"
 
 
-def trained_sql(points: str, start, share: str, steps: int, power: int = 1, x: tuple[str, str] | None = None, objective: str = "") -> str:
+def trained_sql(points: str, start, share: str, steps: int, power: int = 1, x: tuple[str, str] | None = None, objective: str = "", tail: str = "") -> str:
     """Centers after a number of steps, or the objective at each step.
 
     ``x``: columns to add up instead of the features, and their mass. ``objective``: of
-    a row, from its distances d2 and the least of them, low.
+    a row, from its distances d2 and the least of them, low. ``tail``: what to select
+    from the steps ``it`` and the points ``p`` instead.
     """
     width = len(start[0])
     c, xs = ", ".join(f"c{d}" for d in range(width)), ", ".join(f"x{d}" for d in range(width))
@@ -119,6 +126,7 @@ from (select t, id, {objective} as v
       from (select t, id, d2, min(d2) over (partition by t, id) as low
             from (select t, id, {squared(width)} as d2 from it, p where t < {steps})) group by t, id, low)
 group by t"""
+    last = tail or last
     return f"""
 with recursive p as ({points}), it(t, unit, {c}) as (
   select 0, unit, {c} from {values(start)}
@@ -481,20 +489,149 @@ def label_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(round(float(v), 9) for v in found)], "information double, entropy_a double, entropy_b double, expected double")
 
 
-# Random draws, searches and streams: no SQL states them.
+@query(trained_sql(EVENTS, EVENT_START, rough_share(1.3, 0.5, 2.0), 4))
+def train_exrcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extended form of rough c-means."""
+    return units(spark, rcm(events(spark, sf_dir), 4, features=XY, init=EVENT_START, alpha=1.3, beta=0.5, p=2.0, max_iter=4))
+
+
+@query(shares_sql(EVENTS, EVENT_START, rough_share(1.3, 0.5, 2.0)))
+def apply_exrcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(apply.rcm(events(spark, sf_dir), EVENT_START, alpha=1.3, beta=0.5, p=2.0, features=XY), 4)
+
+
+#: The first step at which no center moves by more than a share of the radius of the points.
+STOPPED = """, m as (select b.t, max(greatest(abs(b.c0 - a.c0), abs(b.c1 - a.c1))) as far from it a join it b on b.unit = a.unit and b.t = a.t + 1 group by b.t),
+r as (select sqrt(var_pop(x0) + var_pop(x1)) as radius from p), s as (select min(m.t) as t from m, r where far <= {tol} * radius)
+select unit, round(c0, 5) as c0, round(c1, 5) as c1, it.t as n_iter from it join s on s.t = it.t"""
+
+
+@query(trained_sql(EVENTS, EVENT_START, FUZZY, 25, 2, tail=STOPPED.format(tol=0.02)))
+def stopped_fcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centers and iterations of a run that ends at its tolerance."""
+    found = fcm(events(spark, sf_dir), 4, features=XY, init=EVENT_START, tol=0.02, max_iter=None)
+    return units(spark, found)
+
+
+FAR_START = [*ACCOUNT_START[:3], [5000.0, -5000.0]]
+
+
+@query(trained_sql(CUSTOMERS, FAR_START, NEAREST, 4))
+def unreached_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unit that no row is nearest to stays where it is."""
+    return units(spark, kmeans(accounts(spark, sf_dir), 4, features=XY, init=FAR_START, max_iter=4))
+
+
+SIX_START = [*EVENT_START, [5.713, 17.319], [12.931, 8.117]]
+
+
+@query(trained_sql(EVENTS, SIX_START, NEAR.format(s="(power(1.0, 1 - t / 3.0) * power(0.5, t / 3.0))"), 4).replace(
+    "min(d2) over (partition by id) as low", "first_value(unit) over (partition by id order by d2, unit) as best"))
+def default_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch map of three rows and two columns, whose widths go from half its extent to a half."""
+    return units(spark, batch_som(events(spark, sf_dir), (3, 2), features=XY, init=SIX_START, epochs=4))
+
+
+@query(trained_sql(LINES, LINE_START, NEAREST, 3, tail="""
+select t as iteration, unit, round(c0, 5) as c0, round(c1, 5) as c1, round(c2, 5) as c2, round(c3, 5) as c3 from it where t > 0"""))
+def stepped_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centers of every iteration, one after the other."""
+    run = steps.kmeans(lines(spark, sf_dir), 4, features=FOUR, init=LINE_START, max_iter=3)
+    rows = [(progress.iteration, unit, *(round(float(v), 5) for v in c)) for progress in run for unit, c in enumerate(progress.result().centers)]
+    return spark.createDataFrame(rows, "iteration int, unit int, c0 double, c1 double, c2 double, c3 double")
+
+
+@query(trained_sql(f"select *, 0 as sent from ({CUSTOMERS}) union all select -id, x0, x1, 1 from ({SUPPLIERS})", ACCOUNT_START, NEAREST, 3).replace(
+    "from it, p where t < 3", "from it, p where t < 3 and sent = least(t, 1)"))
+def sent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One iteration on customers, then two on suppliers that are sent in."""
+    run = steps.kmeans(accounts(spark, sf_dir), 4, features=XY, init=ACCOUNT_START, max_iter=3)
+    next(run)
+    run.send(accounts(spark, sf_dir, "supplier"))
+    return units(spark, [progress.result() for progress in run][-1])
+
+
+@query(olp_sql(CUSTOMERS, ACCOUNT_START, 4.0, 2.0, 12, True) + f""", m as (
+  select b.t, max(abs(b.p - a.p)) as change from it a join it b on b.id = a.id and b.unit = a.unit and b.t = a.t + 1 where a.t > 0 group by b.t),
+s as (select min(t) as t from m where change <= 0.05)
+select id as row_id, cast(arg_min(unit, (-p, unit)) as int) as label, {", ".join(f"round(max(case when unit = {c} then p end), 6) as u{c}" for c in range(4))},
+  cast(max(s.t) as int) as n_iter
+from it join s on s.t = it.t group by id""")
+def steady_som_olp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applied until no membership changes by more than a tolerance."""
+    found = apply.som_olp(accounts(spark, sf_dir), ACCOUNT_START, GRID, lam=4.0, gamma=2.0, tol=0.05, max_iter=12, features=XY)
+    return shares(found, 4).withColumn("n_iter", F.lit(found.n_iter))
+
+
+@query(f"select unit, c0, c1 from ({ORACLE_SQL['train_batch_som']})")
+def stored_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map that was saved and loaded."""
+    found = batch_som(events(spark, sf_dir), GRID, features=XY, init=EVENT_START, epochs=4, sigma=0.5, sigma_end=0.25)
+    path = f"{shared_folder(spark)}/map-{uuid.uuid4().hex}"
+    save(spark, found, path, features=XY)
+    rows = [(unit, *(round(float(v), 5) for v in c)) for unit, c in enumerate(load(spark, path).centers)]
+    return spark.createDataFrame(rows, "unit int, c0 double, c1 double")
+
+
+# Eigenvalues and axes of a symmetric matrix of two rows, in closed form.
+@query(f"""
+with p as ({EVENTS}), c as (select var_pop(x0) as a, covar_pop(x0, x1) as b, var_pop(x1) as d from p),
+l as (select *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) as l1, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b) as l2 from c),
+v as (select *, case when a >= d then l1 - d else b end as vx, case when a >= d then b else l1 - a end as vy from l),
+n as (select l1, l2, vx / sqrt(vx * vx + vy * vy) as vx, vy / sqrt(vx * vx + vy * vy) as vy from v),
+w as (select l1, l2, vx * sign(vx) as ax, vy * sign(vx) as ay, -vy * sign(-vy) as bx, vx * sign(-vy) as by_ from n)
+select cast(3 * r + c as int) as unit, round(2 * ((r - 1) * sqrt(l1) * ax + (c - 1) * sqrt(l2) * bx), 5) + 0.0 as x,
+  round(2 * ((r - 1) * sqrt(l1) * ay + (c - 1) * sqrt(l2) * by_), 5) + 0.0 as y
+from w, (select unnest(range(3)) as r), (select unnest(range(3)) as c)""")
+def principal_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first prototypes of a map of three rows and columns, about the mean."""
+    points = prepared(events(spark, sf_dir), XY)
+    # Without the sign of a zero.
+    rows = [(i, *(round(float(v), 5) + 0.0 for v in c)) for i, c in enumerate(principal_start(points, unit_coordinates((3, 3)), 2.0))]
+    return spark.createDataFrame(rows, "unit int, x double, y double")
+
+
+@query("select cast(i as int) as unit, true as is_row, true as lowers from range(8) as r(i)")
+def seeds_are_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every seed: whether it is a row, and whether it lowers the squared distances to the seeds."""
+    df = events(spark, sf_dir)
+    points = prepared(df, XY)
+    found = seeds(points, 8, 3) + points.mean
+    totals = [map_quality(points, found[: i + 1]) for i in range(len(found))]
+    lowers = [i == 0 or totals[i] < totals[i - 1] for i in range(len(totals))]
+    seen = spark.createDataFrame([(i, *map(float, c), low) for i, (c, low) in enumerate(zip(found, lowers, strict=True))], "unit int, sx double, sy double, lowers boolean")
+    close = (F.abs(F.col("x") - F.col("sx")) < 1e-9) & (F.abs(F.col("y") - F.col("sy")) < 1e-9)
+    # Eight seeds: a table that is broadcast.
+    rows = df.join(F.broadcast(seen), close).select("unit").distinct().withColumn("is_row", F.lit(True))
+    return seen.join(rows, "unit", "left").select("unit", F.coalesce("is_row", F.lit(False)).alias("is_row"), "lowers")
+
+
+# A kernel's mass within [0, 1], which its density is divided by, is summed up by Simpson's rule.
+@query("""
+with v as (select s_suppkey as t, (s_acctbal - min(s_acctbal) over ()) / (max(s_acctbal) over () - min(s_acctbal) over ()) as x, count(*) over () as n from supplier),
+k as (select t, x, n from v union all select null, 0.5, max(n) from v),
+g as (select t, x, n, x - lag(x, 1, 0.0) over o as below, lead(x, 1, 1.0) over o - x as above from k window o as (order by x, t nulls last)),
+w as (select x, n, case when t is null then 1.0 else least(1.0, greatest(below, above, 0.03, power(n + 1, -2.0))) end as width from g),
+s as (select x, width, n, sum(exp(-0.5 * power((i / 400.0 - x) / width, 2)) * case when i in (0, 400) then 1 when i % 2 = 1 then 4 else 2 end) / 1200.0 as mass
+  from w, (select unnest(range(401)) as i) group by all)
+select cast(j as int) as place, round(sum(exp(-0.5 * power((j / 20.0 - x) / width, 2)) / mass) / (max(n) + 1), 5) as density
+from s, (select unnest(range(21)) as j) group by j""")
+def parzen_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density of trials at the suppliers' balances, at 21 places."""
+    rows = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_acctbal").collect()
+    found = np.array([r[0] for r in rows], float)
+    scaled = (found - found.min()) / (found.max() - found.min())
+    density = np.exp(Kernels(scaled[:, None], [Interval(0.0, 1.0)]).log_density(np.arange(21)[:, None] / 20))
+    return spark.createDataFrame([(i, round(float(v), 5)) for i, v in enumerate(density)], "place int, density double")
+
+
+# Random draws and searches: no SQL states them.
 @query()
 def seeded_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
     return units(spark, kmeans(df, 10, features="embedding", id_col="vec_id", seed=1, max_iter=20)).select("unit", "n_iter", "c0", "c1")
 
 
-@query()
-def principal_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = prepared(lines(spark, sf_dir), FOUR)
-    rows = [(i, *map(float, c)) for i, c in enumerate(principal_start(points, unit_coordinates((5, 5)), 2.0))]
-    return spark.createDataFrame(rows, "unit int, a double, b double, c double, d double")
-
-
 @query()
 def searched_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tau at which entropic memberships of events come nearest to two effective units."""
@@ -509,7 +646,7 @@ def searched_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+@query(trained_sql(EVENTS, EVENT_START, soft_share(5.0), 1))
 def streamed_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One iteration a micro-batch over the files of the events table."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
