@@ -1,7 +1,7 @@
 """Language-model scoring by cross-entropy difference.
 
 A target and a background model of the same form share one vocabulary: the distinct
-words of both corpora. Counts of words, and of pairs of them, are exact and come from
+words of both corpora, and one word that stands for any other. Counts of words, and of pairs of them, are exact and come from
 all rows of both corpora; the background's are scaled to the target's size, as if it
 were a sample of that size, so that both smooth alike. A document's score is the mean
 difference of its per-token losses: the lower, the closer to the target.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, columns, sliced, texts, words, written
 
-#: Bits of the least vocabulary, and of the hash that deals keys to groups; smoothing of words and of pairs.
-WORD_BITS, PAIR_BITS, ALPHA, BETA = 18, 22, 0.05, 4.0
+#: Bits of the hash that deals keys to groups; smoothing of words and of pairs.
+HASH_BITS, ALPHA, BETA = 22, 0.05, 4.0
 #: Groups of keys at least; bytes of text whose keys a group holds (about), beyond that.
 GROUP, GROUP_BYTES = 1024, 8 << 20
 #: Sides of a chunk's keys; the group that stands for its documents.
@@ -64,7 +64,7 @@ class Keys:
         self.counts = np.concatenate([np.bincount(self.of, minlength=len(self.words)), counts])
         digest = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words.to_pylist()), np.uint64, len(self.words))
         mixed = np.concatenate([digest, digest[self.first] * np.uint64(31) + digest[self.second]]) * np.uint64(0x9E3779B97F4A7C15)
-        group = (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64) % groups
+        group = (mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64) % groups
         self.order = np.argsort(group, kind="stable")
         self.ends = np.cumsum(np.bincount(group, minlength=groups))
 
@@ -211,15 +211,15 @@ def score_documents(df: DataFrame, model: Difference, id_col: str = "doc_id", te
     Losses are means over the words ``[^\\x20\\x09-\\x0D]+`` in nats; score is
     target_loss - background_loss, 0 for a text without words, a null one too. Null
     ids and repeated rows are kept; other columns take no part; an empty table gives
-    no row. The vocabulary counts as 2^WORD_BITS words if it has fewer, the rest being
-    words not seen. Keys are shuffled by group, and their counts back to the chunks.
+    no row. The vocabulary is that of both corpora and one word for all not seen. Keys
+    are shuffled by group, and their counts back to the chunks.
     """
     same = model.fitted[0] is df and model.fitted[1:] == (id_col, text_col)
     asked = None if same else chunks(columns(df, doc_id=id_col, text=text_col), "asked")
     counted = written(totals(model, asked), "totals")
     n_words, *sizes = (x or 0 for x in counted.agg(F.sum("words"), F.sum("target"), F.sum("background")).head())
     scales = (1.0, sizes[0] / sizes[1] if sizes[1] else 1.0)
-    vocabulary, groups = max(1 << WORD_BITS, n_words), model.groups
+    vocabulary, groups = n_words + 1, model.groups
 
     def score(found: pa.Table) -> pa.Table:
         rows = sorted(zip(found.column("group").to_pylist(), found.column("data").to_pylist(), strict=True))
