@@ -92,11 +92,11 @@ def hard_step(points: Points, centers: np.ndarray, _, t: int) -> Step:
     return Step(moved(centers, points.mean, weighted, mass), objective=float(value))
 
 
-def soft_step(assign, m: float | None = None) -> Callable[..., Step]:
-    """Means weighted by memberships, or by their m-th powers.
+def soft_merge(m: float | None):
+    """Merges soft sums (weighted, mass, objective, top) of several parts of the rows.
 
-    Powers are scaled by each unit's largest membership so that they don't vanish;
-    merging brings partial sums to the larger scale.
+    Powers are scaled by each unit's largest membership, top, so that they don't
+    vanish; merging brings partial sums to the larger scale.
     """
 
     def merge(parts: list):
@@ -107,25 +107,76 @@ def soft_step(assign, m: float | None = None) -> Callable[..., Step]:
             total = [total[0] + weighted * factor[:, None], total[1] + mass * factor, total[2] + value]
         return (*total, top)
 
-    def step(points: Points, centers: np.ndarray, _, t: int) -> Step:
-        v, mean, width = centers - points.mean, points.mean, points.width
+    return merge
+
+
+def soft_sums(points: Points, centers: np.ndarray, assign, m: float | None = None) -> tuple:
+    """Sums of centered rows and masses, weighted by memberships or their m-th powers; objective; top."""
+    v, mean, width, merge = centers - points.mean, points.mean, points.width, soft_merge(m)
+
+    def task(batches: Iterator[pa.RecordBatch]):
+        parts = []
+        for x in blocks_of(batches, width, mean):
+            held, value = assign(assign.distances(x, v))
+            top = held.max(axis=0) if m else np.ones(len(v))
+            weight = (held / np.maximum(top, LEAST)) ** m if m else held
+            part = (weight.T @ x, weight.sum(axis=0), np.array(np.nan if value is None else value), top)
+            parts = [merge([*parts, part])]
+        return parts[0] if parts else None
+
+    return reduced(points.blocks, task, merge)
+
 
-        def task(batches: Iterator[pa.RecordBatch]):
-            parts = []
-            for x in blocks_of(batches, width, mean):
-                held, value = assign(assign.distances(x, v))
-                top = held.max(axis=0) if m else np.ones(len(v))
-                weight = (held / np.maximum(top, LEAST)) ** m if m else held
-                part = (weight.T @ x, weight.sum(axis=0), np.array(np.nan if value is None else value), top)
-                parts = [merge([*parts, part])]
-            return parts[0] if parts else None
+def soft_step(assign, m: float | None = None) -> Callable[..., Step]:
+    """Means weighted by memberships, or by their m-th powers."""
 
-        weighted, mass, value, _ = reduced(points.blocks, task, merge)
-        return Step(moved(centers, mean, weighted, mass), objective=checked(assign, float(value)))
+    def step(points: Points, centers: np.ndarray, _, t: int) -> Step:
+        weighted, mass, value, _ = soft_sums(points, centers, assign, m)
+        return Step(moved(centers, points.mean, weighted, mass), objective=checked(assign, float(value)))
 
     return step
 
 
+@dataclass(frozen=True)
+class Partial:
+    """What one site's rows add to an update: sums about ``origin``, masses, objective.
+
+    It has the size of the prototypes and holds no row. ``top`` and ``m`` belong to
+    the scale of fuzzy sums.
+    """
+
+    weighted: np.ndarray
+    mass: np.ndarray
+    objective: float | None
+    origin: np.ndarray
+    top: np.ndarray
+    m: float | None
+
+
+def partial_update(df: DataFrame, centers, *, features, id_col: str = "row_id", m: float | None = None, tau: float | None = None) -> Partial:
+    """One site's part of an update of k-means, of fuzzy c-means (``m``) or of its entropic form (``tau``)."""
+    if m is not None and tau is not None:
+        raise ValueError("an update is fuzzy (m) or entropic (tau), not both")
+    points, centers = fixed(df, centers, {"features": features, "id_col": id_col})
+    origin = centers.mean(axis=0)
+    if m is None and tau is None:
+        weighted, mass, value = unit_sums(points, centers)
+        top = np.ones(len(centers))
+    else:
+        weighted, mass, value, top = soft_sums(points, centers, fuzzy(m) if tau is None else entropic(tau), m)
+    points.release()
+    return Partial(weighted + mass[:, None] * (points.mean - origin), mass, float(value), origin, top, m)
+
+
+def merged_update(parts: list[Partial], centers) -> tuple[np.ndarray, float]:
+    """(centers, objective) of all sites' rows; a center without mass stays as it is."""
+    centers = checks.matrix(centers, "centers")
+    if not parts or any(p.m != parts[0].m or not np.array_equal(p.origin, centers.mean(axis=0)) for p in parts):
+        raise ValueError("parts must be of one method and of these centers")
+    weighted, mass, value, _ = soft_merge(parts[0].m)([(p.weighted, p.mass, np.array(p.objective), p.top) for p in parts])
+    return moved(centers, parts[0].origin, weighted, mass), float(value)
+
+
 def checked(assign, value: float) -> float | None:
     """The objective; None of a method without one, an error where it overflows."""
     if isinstance(assign, Entropic) and not np.isfinite(value):

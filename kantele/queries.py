@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import apply, batch_som, efcm, fcm, kmeans, minimize, rcm, rmcm, som, som_olp, steps, uniform
+from . import apply, batch_som, efcm, fcm, kmeans, merged_update, minimize, partial_update, rcm, rmcm, som, som_olp, steps, uniform
 from .functions.columns import effective_units, scaling, standardized
 from .operators.maps import covariance, map_quality, principal_start, unit_coordinates
 from .operators.metrics import Counts, Neighborhood, Table, ami, ari, contingency, continuity, expected_information, nearest_rows, ranks, trustworthiness
@@ -573,6 +573,18 @@ def stored_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "unit int, c0 double, c1 double")
 
 
+@query(trained_sql(EVENTS, EVENT_START, FUZZY, 2, 2))
+def federated_fcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two updates from two sites, which send on their parts alone."""
+    df = events(spark, sf_dir)
+    centers = np.array(EVENT_START)
+    for _ in range(2):
+        parts = [partial_update(df.where(F.col("row_id") % 2 == site), centers, features=XY, m=2.0) for site in range(2)]
+        centers, _ = merged_update(parts, centers)
+    rows = [(unit, *(round(float(v), 5) for v in c), 2) for unit, c in enumerate(centers)]
+    return spark.createDataFrame(rows, "unit int, c0 double, c1 double, n_iter int")
+
+
 # Eigenvalues and axes of a symmetric matrix of two rows, in closed form.
 @query(f"""
 with p as ({EVENTS}), c as (select var_pop(x0) as a, covar_pop(x0, x1) as b, var_pop(x1) as d from p),

@@ -196,3 +196,19 @@ def test_progress_snapshots(spark):
         alone = kantele.fcm(df, 3, features=names, init=START, max_iter=i + 1)
         assert np.array_equal(alone.centers, result.centers) and len(result.history) == i + 1
     assert [r.stop_reason for r in seen] == [None, None, "limit"]
+
+
+@pytest.mark.parametrize("params", [{}, {"m": 2.3}, {"tau": 0.8}])
+def test_sites_together_update_like_all_rows(spark, params):
+    df, names = frame(spark, blobs() + 50)
+    start = np.array(START) + 50
+    parts = [kantele.partial_update(df.where(f"row_id % 3 = {site}"), start, features=names, **params) for site in range(3)]
+    centers, objective = kantele.merged_update(parts, start)
+    whole = kantele.fcm if "m" in params else kantele.efcm if "tau" in params else kantele.kmeans
+    found = whole(df, 3, features=names, init=start, max_iter=1, **params)
+    assert np.allclose(centers, found.centers, atol=1e-9) and objective == pytest.approx(found.history[0])
+    for bad in ([], [*parts, kantele.partial_update(df, start + 1, features=names, **params)]):
+        with pytest.raises(ValueError):
+            kantele.merged_update(bad, start)
+    with pytest.raises(ValueError):
+        kantele.partial_update(df, start, features=names, m=2.0, tau=1.0)
