@@ -211,8 +211,10 @@ def top_k(
     rows = written(rows, "vectors")
     chosen = rows.where(is_query)
     n_rows, n_queries = rows.count(), chosen.count()
-    blocks, query_blocks = max(1, -(-n_rows // ROWS)), max(1, -(-n_queries // QUERIES))
-    together = max(1, 2 * spark.sparkContext.defaultParallelism // query_blocks)
+    cores = spark.sparkContext.defaultParallelism
+    # While there are few, blocks of queries are parted so that every core has one.
+    blocks, query_blocks = max(1, -(-n_rows // ROWS)), max(1, -(-n_queries // QUERIES), min(cores, -(-n_queries // STEP)))
+    together = max(1, 2 * cores // query_blocks)
     shares = min(blocks, max(-(-blocks // SHARE), together))
 
     def packed(of: DataFrame, n: int, floors=None) -> DataFrame:
