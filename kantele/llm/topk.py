@@ -231,6 +231,9 @@ def top_k(
             return pa.table({c.split()[0]: pa.array([v], t) for c, v, t in zip(BLOCK.split(", "), values, kinds, strict=True)})
 
         numbered = of.select("*", F.pmod(F.xxhash64("vec_id", "x"), F.lit(n)).alias("block"), F.size("x").alias("width"))
+        if n <= 4 * cores:
+            # A few heavy groups would be coalesced into one task by their size.
+            numbered = numbered.repartition(4 * cores, "block", "width")
         return numbered.groupBy("block", "width").applyInArrow(pack, BLOCK)
 
     candidates = written(packed(rows, blocks), "candidates")
