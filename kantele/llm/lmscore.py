@@ -33,6 +33,8 @@ from .common import SLICE_BYTES, columns, sliced, texts, words, written
 HASH_BITS, ALPHA, BETA = 22, 0.05, 4.0
 #: Groups of keys at least; bytes of text whose keys a group holds (about), beyond that.
 GROUP, GROUP_BYTES = 1024, 8 << 20
+#: Bytes of text whose keys, or chunks, a task reads (about).
+TASK_BYTES = 256 << 20
 #: Sides of a chunk's keys; the group that stands for its documents.
 TARGET, BACKGROUND, ASKED = range(3)
 DOCUMENTS = -1
@@ -149,12 +151,13 @@ class Difference:
     """The matched models: the chunks of both corpora, whose keys are counted when documents are scored.
 
     ``fitted`` is the background with the names of its id and text; scoring the same
-    DataFrame takes the background's chunks.
+    DataFrame takes the background's chunks. ``parts`` tasks read their keys.
     """
 
     target: DataFrame
     background: DataFrame
     groups: int
+    parts: int
     fitted: tuple[DataFrame, str, str]
 
     @classmethod
@@ -165,7 +168,8 @@ class Difference:
         a = chunks(columns(target, text=target_col), "target")
         b = chunks(columns(background, **ids, text=background_col), "background")
         size = sum(x.agg(F.sum("size")).head()[0] or 0 for x in (a, b))
-        return cls(a, b, max(GROUP, -(-size // GROUP_BYTES)), (background, id_col, background_col))
+        parts = max(int(background.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+        return cls(a, b, max(GROUP, -(-size // GROUP_BYTES)), parts, (background, id_col, background_col))
 
 
 RESULT = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
@@ -202,7 +206,7 @@ def totals(model: Difference, asked: DataFrame | None) -> DataFrame:
     for side, of in sides:
         some = keyed(of, model.groups).withColumn("side", F.lit(side))
         every = some if every is None else every.unionByName(some)
-    return every.groupBy("group").applyInArrow(total, "chunk long, data binary, words long, target long, background long, group int")
+    return every.repartition(model.parts, "group").groupBy("group").applyInArrow(total, "chunk long, data binary, words long, target long, background long, group int")
 
 
 def score_documents(df: DataFrame, model: Difference, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +216,8 @@ def score_documents(df: DataFrame, model: Difference, id_col: str = "doc_id", te
     target_loss - background_loss, 0 for a text without words, a null one too. Null
     ids and repeated rows are kept; other columns take no part; an empty table gives
     no row. The vocabulary is that of both corpora and one word for all not seen. Keys
-    are shuffled by group, and their counts back to the chunks.
+    are shuffled by group, and their counts back to the chunks, to as many tasks as
+    the corpora's size asks for.
     """
     same = model.fitted[0] is df and model.fitted[1:] == (id_col, text_col)
     asked = None if same else chunks(columns(df, doc_id=id_col, text=text_col), "asked")
@@ -241,4 +246,4 @@ def score_documents(df: DataFrame, model: Difference, id_col: str = "doc_id", te
 
     kept = (model.background if same else asked).select("chunk", F.lit(DOCUMENTS).alias("group"), "data")
     rows = kept.unionByName(counted.where("chunk is not null").select("chunk", "group", "data"))
-    return rows.groupBy("chunk").applyInArrow(score, RESULT)
+    return rows.repartition(model.parts, "chunk").groupBy("chunk").applyInArrow(score, RESULT)
