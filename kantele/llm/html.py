@@ -369,7 +369,7 @@ class TreeModel:
         return content, joint
 
 
-def train(pages: list[Page], steps: int = 250, rate: float = 1.0, penalty: float = 0.03) -> TreeModel:
+def train(pages: list[Page], steps: int = 1500, rate: float = 1.0, penalty: float = 0.03) -> TreeModel:
     """Maximum likelihood of labelled pages by adaptive gradient steps; exact marginals."""
     f = forest(pages)
     y = f.label.astype(float)
@@ -463,6 +463,9 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[str]:
             one(f'<div class="comment"><p>{sentence()} {sentence()}</p></div>', f"<li><b>{words(1, 2)}</b><p>{sentence()}</p></li>", f"<p>{sentence()}</p>")
             for _ in range(int(draw.integers(1, 6)))
         )
+        if chance(0.25):
+            # A heading of their own beside the list of comments.
+            return off("h3", words(1, 4), "comments", "replies") + off("ol", each, "comment-list", "comments")
         return one(off("section", f"<h2>{words(1, 3)}</h2>{each}", "comments", "comment-list", "reader-comments"), off("div", f"<h3>{words(1, 2)}</h3><ol>{each}</ol>", "comments", "responses reply", "disqus"))
 
     def hidden() -> str:
@@ -484,8 +487,11 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[str]:
             elif kind < 0.78:
                 parts.append(f"<h2>{words(1, 6)}</h2>")
             elif kind < 0.84:
-                items = "".join(f"<li>{sentence()}{one('</li>', '')}" for _ in range(int(draw.integers(2, 6))))
-                parts.append(f"<ul>{items}</ul>")
+                # Items may be as short as those of a menu, but are no links.
+                short = chance(0.4)
+                items = "".join(f"<li>{words(1, 5) if short else sentence()}{one('</li>', '')}" for _ in range(int(draw.integers(2, 8))))
+                tag = one("ul", "ul", "ol")
+                parts.append((f"<h3>{words(1, 3)}</h3>" if chance(0.3) else "") + f"<{tag}>{items}</{tag}>")
             elif kind < 0.87:
                 parts.append(f"<blockquote>{one(paragraph(), sentence())}</blockquote>")
             elif kind < 0.90:
@@ -556,7 +562,8 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[str]:
             continue
         before = [f() for f in (notice, nav, ad, form) if chance(0.4)]
         if chance(0.4):
-            top = f"<h2>{words(1, 3)}</h2>" if chance(0.5) else f'<a href="/">{words(1, 3)}</a><p>{sentence(2, 6)}</p>'
+            name = one(f"<h2>{words(1, 3)}</h2>", f'<a href="/">{words(1, 3)}</a>', f'<h1><a href="/">{words(1, 4)}</a></h1>', f"<h1>{words(1, 4)}</h1>")
+            top = name + (f"<p>{sentence(2, 6)}</p>" if chance(0.5) else "")
             before.append(one(off("header", top + (nav() if chance(0.5) else "")), off("div", top, "header", "masthead", "topbar")))
         after = [f() for f in (aside, comments, ad, notice, hidden) if chance(0.4)] + ([footer()] if chance(0.8) else [])
         draw.shuffle(before)

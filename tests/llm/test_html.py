@@ -143,9 +143,10 @@ def test_stored_weights_are_the_trained_ones():
     assert np.allclose(made.own, kept.own, atol=1e-4) and np.allclose(made.pairs, kept.pairs, atol=1e-4)
 
 
-def test_unseen_layouts(model):
+@pytest.mark.parametrize("families", [unseen_pages.FAMILIES, unseen_pages.LATER])
+def test_unseen_layouts(model, families):
     """Blocks of layouts that no training page has; the bars are regression bars below what was measured (0.97, 1.0)."""
-    pages = list(unseen_pages.pages())
+    pages = list(unseen_pages.pages(families=families))
     hit = got = want = 0
     for (_, _, expected), found in zip(pages, html.main_texts(pa.array([p for _, p, _ in pages]), model), strict=True):
         a, b = Counter(found.split("\n")), Counter(expected.split("\n"))
