@@ -143,7 +143,7 @@ def test_stored_weights_are_the_trained_ones():
     assert np.allclose(made.own, kept.own, atol=1e-4) and np.allclose(made.pairs, kept.pairs, atol=1e-4)
 
 
-@pytest.mark.parametrize("families", [unseen_pages.FAMILIES, unseen_pages.LATER])
+@pytest.mark.parametrize("families", [unseen_pages.FAMILIES, unseen_pages.LATER, unseen_pages.LAST])
 def test_unseen_layouts(model, families):
     """Blocks of layouts that no training page has; the bars are regression bars below what was measured (0.97, 1.0)."""
     pages = list(unseen_pages.pages(families=families))

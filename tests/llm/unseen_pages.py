@@ -1,7 +1,7 @@
 """Pages of layouts that the training pages of the model don't make, with their main text.
 
-Written before the model was trained on its present pages, and never used to choose
-features, training pages or settings.
+Each group was written before it was first measured. What failed in the first two (a
+blog's site title, a recipe's short list) was named in changes to the training pages.
 """
 
 import random
@@ -112,9 +112,36 @@ def question(draw):
     )
 
 
+def magazine(draw):
+    title, author, parts, quote = _sentence(draw, 4, 9), "By Ann Smith", [_text(draw) for _ in range(4)], _sentence(draw)
+    return (
+        f"<html><body><div class='skip'><a href='#m'>Skip to text</a></div><header id='top'><div class='brand'><a href='/'>The Review</a></div><nav aria-label='sections'><a href='/b'>Books</a><a href='/f'>Film</a><a href='/m'>Music</a></nav></header><div class='layout'><main id='m'><header><h1>{title}</h1><p>{author}</p></header><p>{parts[0]}</p><p>{parts[1]}</p><blockquote><p>{quote}</p></blockquote>"
+        f"<div class='sponsored'><span>Sponsored</span><a href='/ad'>Try our wine club</a></div><p>{parts[2]}</p><p>{parts[3]}</p></main><aside class='rail'><h3>More stories</h3><ul><li><a href='/1'>{_sentence(draw, 4, 8)}</a></li><li><a href='/2'>{_sentence(draw, 4, 8)}</a></li></ul></aside></div><footer><p>Copyright The Review</p><ul><li><a href='/t'>Terms</a></li></ul></footer></body></html>",
+        "\n".join([title, author, *parts[:2], quote, *parts[2:]]),
+    )
+
+
+def course(draw):
+    title, goal, rows, text = _sentence(draw, 2, 5), _text(draw, 2), [(f"Week {i}", _sentence(draw, 3, 6)) for i in range(1, 5)], _text(draw)
+    return (
+        f"<html><body><div id='banner'><img src='a.png'><a href='/'>University</a></div><div id='leftnav'><ul><li><a href='/p'>People</a></li><li><a href='/c'>Courses</a></li></ul></div><div id='text'><h1>{title}</h1><p>{goal}</p><table border=1><tr><th>When</th><th>What</th></tr>{''.join(f'<tr><td>{a}</td><td>{b}</td></tr>' for a, b in rows)}</table><h2>Reading</h2><p>{text}</p></div><hr><address>Page by the office</address></body></html>",
+        "\n".join([title, goal, "When", "What", *(x for r in rows for x in r), "Reading", text]),
+    )
+
+
+def shop_help(draw):
+    title, pairs = _sentence(draw, 2, 5), [(_sentence(draw, 4, 8), _text(draw, 2)) for _ in range(4)]
+    return (
+        f"<html><body><div class='cookie-bar'>We use cookies <button>Accept</button></div><div class='topbar'><a href='/cart'>Cart</a> <a href='/me'>Account</a></div><div class='page-container'><section class='faq-content'><h1>{title}</h1>{''.join(f'<div class=item><h3>{a}</h3><div>{b}</div></div>' for a, b in pairs)}</section><section class='help-form'><form><p>Ask us something else</p><textarea>Your text</textarea><button>Send</button></form></section></div><div class='site-footer'><ul><li><a href='/r'>Returns</a></li></ul><p>The shop, 2015</p></div></body></html>",
+        "\n".join([title, *(x for pair in pairs for x in pair)]),
+    )
+
+
 FAMILIES = (forum, news, plain_divs, table_layout, manual, blog)
 #: Written after the others had been looked at, before site titles and headings of comments were added to the training pages.
 LATER = (recipe, press_release, wiki, question)
+#: Written after that, and not used for any change since.
+LAST = (magazine, course, shop_help)
 
 
 def pages(each=10, seed=99, families=FAMILIES):
