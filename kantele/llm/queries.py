@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .simhash_sql import simhash_sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,6 +65,16 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return extract(table(spark, sf_dir, "pages"))
 
+# The pages of the table hold their main text in one article of headings and paragraphs.
+OP7_SQL = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') as inside from pages),
+b as (select page_id, url, list_transform(regexp_split_to_array(inside, '</?(p|h1)>'),
+    lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) as blocks from a),
+t as (select page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) as raw from b),
+d as (select page_id, url, regexp_replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g') as text from t)
+select page_id, url, text, length(text)::bigint as n_chars from d
+"""
+
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products of every 50th vector against all."""
@@ -138,4 +150,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_lm_scores, op5_sentencepiece, op6_token_files, op7_main_text, op8_top_k, op9_quality_rules, op10_simhash, quality_base, word_counts)
 }
-ORACLE_SQL: dict[str, str] = {"op8_top_k": OP8_SQL, "quality_base": QUALITY_BASE_SQL, "word_counts": WORD_COUNTS_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_main_text": OP7_SQL, "op8_top_k": OP8_SQL, "op10_simhash": simhash_sql(), "quality_base": QUALITY_BASE_SQL, "word_counts": WORD_COUNTS_SQL}

@@ -143,13 +143,25 @@ def test_op10(spark, docs):
     assert {i: (found[i].fingerprint, found[i].component_id) for i in ids} == {i: (f"{int(p):016x}", ids[forest.root(j)]) for j, (i, p) in enumerate(zip(ids, prints, strict=True))}
 
 
-@pytest.mark.parametrize("name", ["quality_base", "word_counts"])
+@pytest.mark.parametrize("name", ["quality_base", "word_counts", "op7_main_text", "op10_simhash"])
 @pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.01"])
 def test_equals_sql(spark, name, folder):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     answer = con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in answer.description]
     found = queries.QUERIES[name](spark, folder)
     assert sorted(found.columns) == sorted(names)
     assert sorted(tuple(r) for r in found.select(names).collect()) == sorted(answer.fetchall())
+
+
+def test_sql_of_simhash_on_odd_texts(spark, odd, tmp_path):
+    """Shingles of every length up to 100 bytes, odd characters, nulls, repeated rows and ids."""
+    long = spark.createDataFrame([(1000 + i, "Zé" * (i // 3) + "x" * (i % 3)) for i in range(100)], "doc_id long, text string")
+    odd.select("doc_id", "text").union(long).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = queries.op10_simhash(spark, str(tmp_path)).select("doc_id", "fingerprint", "component_id").collect()
+    assert len(found) == odd.count() + 100
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, con.execute(f"select doc_id, fingerprint, component_id from ({queries.ORACLE_SQL['op10_simhash']})").fetchall()))
