@@ -22,7 +22,7 @@ from ..functions.kernels import Entropic, Fuzzy, Hard, Rough, nearest
 from ..plans.engine import Method, Step, Steps, Until, iterate
 from ..plans.partials import reduced
 from ..sources.points import Points, blocks_of, prepared, rows_of
-from .neighbors import most_pairs, pairs_within
+from .neighbors import around, by_row, edge_count, ones, tiled
 from .seeding import seeds
 
 LABELLED = "label int, membership array<double>"
@@ -307,37 +307,46 @@ def apply_rcm(df: DataFrame, centers, *, alpha: float, beta: float, p: float, fe
 
 @dataclass(frozen=True)
 class Neighborhoods(Points):
-    """Points with their neighbourhood graph: edges (i, j, degree of i), i itself included.
+    """Points in tiles, whose rows have all rows within ``delta`` as neighbours, themselves included.
 
-    ``joined`` has for each row j what it adds to a unit it is nearest to: y = sum of
-    x_i / degree_i over its neighbours i, and z = sum of 1 / degree_i. The graph is joined once, not at
-    every iteration.
+    ``joined`` has for each row j what it adds to a unit it is nearest to: the sum of
+    x_i / degree_i over its neighbours i, and that of 1 / degree_i. These are added up
+    once, not at every iteration; where nothing is trained there are none.
     """
 
-    edges: DataFrame = None
-    joined: DataFrame = None
+    delta: float = 0.0
+    tiles: DataFrame = None
+    degrees: DataFrame | None = None
+    joined: DataFrame | None = None
 
     def release(self) -> None:
         super().release()
-        self.joined.unpersist()
+        for df in (self.degrees, self.joined):
+            if df is not None:
+                df.unpersist()
 
 
-def neighborhoods(delta: float, max_edges: int) -> Callable[[Points], Neighborhoods]:
+def neighborhoods(delta: float, max_edges: int | None, trains: bool) -> Callable[[Points], Neighborhoods]:
+    delta = checks.number(delta, "delta", 0.0)
+    max_edges = None if max_edges is None else checks.whole(max_edges, "max_edges", 1)
+
     def ready(points: Points) -> Neighborhoods:
-        pairs = pairs_within(points, delta)
-        # The cells' sizes bound the pairs; only beyond that bound are pairs counted, up to one too many.
-        if most_pairs(points, delta) > max_edges and pairs.limit(max_edges + 1).count() > max_edges:
+        mean, width = points.mean, points.width
+        tiles, degrees, joined = tiled(points), None, None
+        if trains or max_edges is not None:
+            degrees = around(tiles, delta, width, ones).persist(StorageLevel.MEMORY_AND_DISK)
+        if max_edges is not None and edge_count(degrees) > max_edges:
+            degrees.unpersist()
             points.release()
             raise ValueError(f"delta={delta} gives more than max_edges={max_edges} edges")
-        pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
-        graph = pairs.join(pairs.groupBy("i").agg(F.count("*").alias("degree")), "i").persist(StorageLevel.MEMORY_AND_DISK)
-        centered = [(F.col("x")[d] - float(points.mean[d])).alias(f"c{d}") for d in range(points.width)]
-        flat = points.df.select(F.col("row_id").alias("i"), *centered)
-        added = graph.join(flat, "i").groupBy(F.col("j").alias("row_id")).agg(
-            F.array(*(F.sum(F.col(f"c{d}") / F.col("degree")) for d in range(points.width))).alias("y"), F.sum(1.0 / F.col("degree")).alias("z")
-        )
-        df = points.df.join(added, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
-        return Neighborhoods(points.df, points.n, points.mean, points.radius, points.blocks, points.span, graph, df)
+
+        def shared(x: np.ndarray, degree: np.ndarray) -> np.ndarray:
+            return np.column_stack([x - mean, np.ones(len(x))]) / degree[:, None]
+
+        if trains:
+            carried = degrees.select("tile", "ids", "x", F.col("sums").alias("w"))
+            joined = around(carried, delta, width, shared).persist(StorageLevel.MEMORY_AND_DISK)
+        return Neighborhoods(points.df, points.n, mean, points.radius, points.blocks, points.span, delta, tiles, degrees, joined)
 
     return ready
 
@@ -348,36 +357,42 @@ def _rough_membership(points: Neighborhoods, centers: np.ndarray, _, t: int) ->
     def task(batches: Iterator[pa.RecordBatch]):
         total = None
         for batch, x in rows_of(batches, width, mean):
-            y = batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            z = batch.column("z").to_numpy(zero_copy_only=False)
+            added = batch.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, width + 1)
             label, _ = nearest(x, v)
-            weighted, mass = np.zeros_like(v), np.zeros(len(v))
-            for unit in np.unique(label):
-                own = label == unit
-                weighted[unit], mass[unit] = y[own].sum(axis=0), z[own].sum()
-            total = (weighted, mass) if total is None else (total[0] + weighted, total[1] + mass)
+            sums = np.stack([np.bincount(label, added[:, d], len(v)) for d in range(width + 1)], axis=1)
+            part = (sums[:, :width], sums[:, width])
+            total = part if total is None else (total[0] + part[0], total[1] + part[1])
         return total
 
-    return Step(moved(centers, mean, *reduced(points.joined, task)))
+    return Step(moved(centers, mean, *reduced(points.joined.select("x", "sums"), task)))
 
 
 def _neighbor_memberships(points: Neighborhoods, centers: np.ndarray) -> DataFrame:
     """(row_id, label, membership): shares of the labels among each row's neighbours."""
-    k = len(centers)
-    nearest = assigned(points, Hard(), centers).select(F.col("row_id").alias("j"), F.col("label").alias("unit"))
-    share = points.edges.join(nearest, "j").groupBy("i", "unit").agg((F.count("*") / F.first("degree")).alias("share"))
-    held = share.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("unit", "share"))).alias("held"))
-    membership = F.array(*(F.coalesce(F.col("held")[F.lit(c)], F.lit(0.0)) for c in range(k)))
-    out = held.select(F.col("i").alias("row_id"), membership.alias("membership"))
-    return out.select("row_id", (F.array_position("membership", F.array_max("membership")) - 1).cast("int").alias("label"), "membership")
+    v, mean, k = centers - points.mean, points.mean, len(centers)
+
+    def labelled(x: np.ndarray, _) -> np.ndarray:
+        out = np.zeros((len(x), k))
+        out[np.arange(len(x)), nearest(x - mean, v)[0]] = 1.0
+        return out
+
+    def shown(counts: np.ndarray) -> list[pa.Array]:
+        held = counts / counts.sum(axis=1, keepdims=True)
+        offsets = pa.array(np.arange(len(held) + 1, dtype=np.int32) * k)
+        return [pa.array(held.argmax(axis=1), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(held.ravel()))]
+
+    return by_row(around(points.tiles, points.delta, points.width, labelled), shown, LABELLED, k)
 
 
 def rmcm(
     df: DataFrame, k: int, *, delta: float, features, id_col: str = "row_id", init="k-means++",
-    max_iter: int | None = 300, max_edges: int = 10_000_000, seed: int | None = None,
+    max_iter: int | None = 300, max_edges: int | None = None, seed: int | None = None,
 ) -> Steps:
-    """Rough membership c-means: shares of the nearest centers within distance delta, inclusive."""
-    ready = neighborhoods(checks.number(delta, "delta", 0.0), checks.whole(max_edges, "max_edges", 1))
+    """Rough membership c-means: shares of the nearest centers within distance delta, inclusive.
+
+    No edge is held, so that their number needs no bound; with ``max_edges`` more are refused.
+    """
+    ready = neighborhoods(delta, max_edges, True)
     source = {"features": features, "id_col": id_col}
     until = Until(limit=checks.limit(max_iter))
     points, centers = started(df, k, init, seed, source, ready)
@@ -385,9 +400,9 @@ def rmcm(
     return (yield from iterate(method, points, centers))
 
 
-def apply_rmcm(df: DataFrame, centers, *, delta: float, features, id_col: str = "row_id", max_edges: int = 10_000_000) -> Steps:
-    """Rough memberships for trained centers, within the rows given."""
-    ready = neighborhoods(checks.number(delta, "delta", 0.0), checks.whole(max_edges, "max_edges", 1))
+def apply_rmcm(df: DataFrame, centers, *, delta: float, features, id_col: str = "row_id", max_edges: int | None = None) -> Steps:
+    """Rough memberships for trained centers, within the rows given; ``max_edges`` as in rmcm."""
+    ready = neighborhoods(delta, max_edges, False)
     source = {"features": features, "id_col": id_col}
     points, centers = fixed(df, centers, source, ready=ready)
     method = Method(

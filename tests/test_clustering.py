@@ -72,6 +72,31 @@ def test_rmcm(spark, delta):
         kantele.rmcm(df, 3, delta=3.0, features=names, init=START, max_edges=60)
 
 
+def crowded():
+    """5,000 rows, of whose 25 million pairs over 10 million lie within a distance of 2; with their memberships of START."""
+    x = np.random.default_rng(5).normal(0, 1.2, (5000, 2)).round(2)
+    gaps = x[:, None, :] - x
+    near = np.sqrt(gaps[..., 0] * gaps[..., 0] + gaps[..., 1] * gaps[..., 1]) <= 2.0
+    assert near.sum() > 10_000_000
+    return x, near
+
+
+def shares_near(x, near, v):
+    own = np.eye(len(v))[distances(x, v).argmin(axis=1)]
+    return near.astype(float) @ own / near.sum(axis=1, keepdims=True)
+
+
+def test_apply_rmcm_past_ten_million_edges(spark):
+    x, near = crowded()
+    df, names = frame(spark, x)
+    labels, held = collected(apply.rmcm(df, START, delta=2.0, features=names), ["label", "membership"])
+    expected = shares_near(x, near, np.array(START))
+    assert np.allclose(held, expected, atol=1e-12) and (labels == held.argmax(axis=1)).all()
+    with pytest.raises(ValueError, match="max_edges"):
+        apply.rmcm(df, START, delta=2.0, features=names, max_edges=int(near.sum()) - 1)
+    assert apply.rmcm(df, START, delta=2.0, features=names, max_edges=int(near.sum())).assignments.count() == 5000
+
+
 def test_rmcm_by_hand(spark):
     df, names = frame(spark, np.array([[7.0], [12.0], [7.0]]), 1)
     pair = df.where("row_id < 2")
