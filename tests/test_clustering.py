@@ -97,6 +97,18 @@ def test_apply_rmcm_past_ten_million_edges(spark):
     assert apply.rmcm(df, START, delta=2.0, features=names, max_edges=int(near.sum())).assignments.count() == 5000
 
 
+def test_rmcm_past_ten_million_edges(spark):
+    x, near = crowded()
+    df, names = frame(spark, x)
+    found = kantele.rmcm(df, 3, delta=2.0, features=names, init=START, max_iter=2)
+    v = np.array(START)
+    for _ in range(2):
+        u = shares_near(x, near, v)
+        v = means(x, u, v)
+    assert found.n_iter == 2 and np.allclose(found.centers, v, atol=1e-9)
+    assert np.allclose(collected(found, ["membership"])[0], u, atol=1e-12)
+
+
 def test_rmcm_by_hand(spark):
     df, names = frame(spark, np.array([[7.0], [12.0], [7.0]]), 1)
     pair = df.where("row_id < 2")
