@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import all_within, none_within, squared_gaps
@@ -198,42 +198,13 @@ def by_row(tiles: DataFrame, shown: Callable[[np.ndarray], list[pa.Array]], kind
     return tiles.select("ids", "sums").mapInArrow(run, f"row_id {row_id}, {kinds}")
 
 
+def counts_within(points: Points, delta: float) -> DataFrame:
+    """(row_id, n): the rows within delta of every row, itself included."""
+    found = around(tiled(points), delta, points.width, ones)
+    return by_row(found, lambda sums: [pa.array(sums[:, 0].astype(np.int64))], "n long", 1)
+
+
 def edge_count(tiles: DataFrame) -> int:
     """The sums of all rows, added up: of degrees the number of edges."""
     total = F.aggregate("sums", F.lit(0.0), lambda a, b: a + b).cast("decimal(38,0)")
     return int(tiles.agg(F.sum(total)).head()[0])
-
-
-#: Features that cut the space into cells, the ones that part it into most.
-CELL_FEATURES = 2
-
-
-def cells(points: Points, delta: float) -> list[Column]:
-    """A row's cell: the widest features by steps of delta, or their values if delta is 0."""
-    widest = np.argsort(-points.span, kind="stable")[:CELL_FEATURES].tolist()
-    # Cells slightly wider than delta keep rounding from parting rows at exactly delta.
-    side = delta * (1 + 1e-9)
-    return [F.floor((F.col("x")[d] - float(points.mean[d])) / side) if delta > 0 else F.col("x")[d] for d in widest]
-
-
-def steps(delta: float) -> tuple[int, ...]:
-    """Steps from a cell to its neighbours in a feature."""
-    return (-1, 0, 1) if delta > 0 else (0,)
-
-
-def pairs_within(points: Points, delta: float) -> DataFrame:
-    """(i, j) of all ordered pairs at a distance of at most delta, each row with itself.
-
-    Rows fall into cells of side delta of the widest features and meet the rows of
-    neighbouring cells by an equi-join; the distance is checked after. Without a
-    distance (delta = 0) rows meet those of equal values. A cell of very many rows is
-    split by adaptive execution, which deals its left rows to several tasks.
-    """
-    own = cells(points, delta)
-    names = [f"k{d}" for d in range(len(own))]
-    left = points.df.select(F.col("row_id").alias("i"), F.col("x").alias("a"), *(c.alias(n) for c, n in zip(own, names, strict=True)))
-    right = points.df.select(F.col("row_id").alias("j"), F.col("x").alias("b"), *(c.alias(n) for c, n in zip(own, names, strict=True)))
-    for name in names if delta > 0 else ():
-        right = right.withColumn(name, F.explode(F.array(*(F.col(name) + s for s in steps(delta)))))
-    gaps = sum(((F.col("a")[d] - F.col("b")[d]) * (F.col("a")[d] - F.col("b")[d]) for d in range(points.width)), F.lit(0.0))
-    return left.join(right, names).where(F.sqrt(gaps) <= F.lit(float(delta))).select("i", "j")

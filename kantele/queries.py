@@ -17,7 +17,7 @@ from . import apply, batch_som, efcm, fcm, kmeans, merged_update, minimize, part
 from .functions.columns import effective_units, scaling, standardized
 from .operators.maps import covariance, map_quality, principal_start, unit_coordinates
 from .operators.metrics import Counts, Neighborhood, Table, ami, ari, contingency, continuity, expected_information, nearest_rows, ranks, trustworthiness
-from .operators.neighbors import pairs_within
+from .operators.neighbors import counts_within
 from .operators.search import Interval, Kernels
 from .operators.seeding import seeds
 from .plans.engine import Result
@@ -384,8 +384,7 @@ def continued(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with p as ({CUSTOMERS}), e as ({EDGES}) select i as row_id, count(*) as n from e group by i")
 def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows within distance 1.05 of every row, itself included."""
-    points = prepared(accounts(spark, sf_dir), XY)
-    return pairs_within(points, 1.05).groupBy(F.col("i").alias("row_id")).agg(F.count("*").alias("n"))
+    return counts_within(prepared(accounts(spark, sf_dir), XY), 1.05)
 
 
 @query(f"""
