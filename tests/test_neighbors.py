@@ -5,6 +5,7 @@ import pytest
 from helpers import frame
 from pyspark.sql import functions as F
 
+from kantele import queries
 from kantele.functions.kernels import all_within, none_within, squared_gaps
 from kantele.operators.neighbors import counts_within, farthest
 from kantele.sources.points import prepared
@@ -51,3 +52,9 @@ def test_boxes_agree_with_rounded_distances():
         box = a.min(axis=0)[None], a.max(axis=0)[None], b.min(axis=0)[None], b.max(axis=0)[None], limit
         assert not all_within(*box)[0, 0] or (gaps <= limit).all()
         assert not none_within(*box)[0, 0] or (gaps > limit).all()
+
+
+def test_query_joins_no_pairs(spark):
+    """A join of pairs of rows grows with their square."""
+    found = queries.neighbour_counts(spark, "/root/testdata/sf0.001")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
