@@ -48,6 +48,21 @@ def test_query(spark, oracle, name):
             assert x == y or isinstance(x, float) and math.isclose(x, y, abs_tol=1e-9), (a, b)
 
 
+def test_train_rmcm_past_ten_million_edges(spark, oracle, tmp_path):
+    """Copies of all rows leave the units where they are; 20 of them have 400 times the edges."""
+    folder = "/root/testdata/sf0.01"
+    edges = oracle(folder).execute(f"with p as ({queries.CUSTOMERS}), e as ({queries.EDGES}) select count(*) from e").fetchall()[0][0]
+    assert 400 * edges > 10_000_000
+    copies = "select c.* replace (c_custkey + 1000000 * k as c_custkey) from customer c, range(20) r(k)"
+    oracle(folder).execute(f"copy ({copies}) to '{tmp_path}/customer.parquet' (format parquet)")
+    df = queries.train_rmcm(spark, str(tmp_path))
+    expected = oracle(folder).execute(queries.ORACLE_SQL["train_rmcm"]).fetchall()
+    found, expected = rows(df.columns, df.collect()), rows(["unit", "c0", "c1", "n_iter"], expected)
+    assert len(found) == len(expected) == 4
+    for a, b in zip(found, expected, strict=True):
+        assert all(math.isclose(x, y, abs_tol=2e-5) for x, y in zip(a, b, strict=True)), (a, b)
+
+
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).count() > 0
